@@ -80,22 +80,18 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select(F.col("tree_id").alias("kt"), F.col("node").alias("kn"))
     nodes = nodes.join(known, (F.col("tree_id") == F.col("kt")) & (F.col("parent") == F.col("kn")), "left")
     # up: the ancestor 2**k steps above, null beyond the root; dist and total: steps and score of the nodes passed
-    jump = cut(nodes.select("tree_id", "node", F.col("kn").alias("up"), F.when(F.col("kn").isNull(), 0).otherwise(1).alias("dist"), F.col("score").alias("total"), F.lit(False).alias("looped")))
-    parents = nodes.where(F.col("kn").isNotNull()).select("tree_id", F.col("kn").alias("node")).distinct()
-    jumps, size = [jump], 1
-    while (open_ := jumps[-1].where(F.col("up").isNotNull()).limit(1).count()) and size <= 2**40:
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        step = a.join(b, (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("a.up") == F.col("b.node")), "left").select(
-            "a.tree_id", "a.node", F.col("b.up").alias("up"),
-            (F.col("a.dist") + F.coalesce("b.dist", F.lit(0))).alias("dist"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-            (F.col("a.looped") | (F.col("b.up") == F.col("a.node"))).alias("looped"),
+    first = cut(nodes.select("tree_id", "node", F.col("kn").alias("up"), F.when(F.col("kn").isNull(), 0).otherwise(1).alias("dist"), F.col("score").alias("total")))
+    parents = first.where(F.col("up").isNotNull()).select("tree_id", F.col("up").alias("node")).distinct()
+    # nodes whose root is found leave the self-join; what is still open once 2**k passes the node count is in a cycle
+    ends, jumps, n_nodes = first.where(F.col("up").isNull()), [first.where(F.col("up").isNotNull())], first.count()
+    while 2 ** (len(jumps) - 1) <= n_nodes and jumps[-1].limit(1).count():
+        a, b = jumps[-1].alias("a"), jumps[-1].unionByName(ends).alias("b")
+        step = a.join(b, (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("a.up") == F.col("b.node"))).select(
+            "a.tree_id", "a.node", F.col("b.up").alias("up"), (F.col("a.dist") + F.col("b.dist")).alias("dist"), (F.col("a.total") + F.col("b.total")).alias("total")
         )
-        jumps.append(cut(step))
-        size *= 2
-        if size > 2 * 10**6 and not jumps[-1].where(F.col("up").isNotNull() & ~F.col("looped")).limit(1).count():
-            break
-    ends = jumps[-1].where(F.col("up").isNull())
+        step = cut(step)
+        ends = ends.unionByName(step.where(F.col("up").isNull()))
+        jumps.append(step.where(F.col("up").isNotNull()))
     leaves = ends.join(parents, ["tree_id", "node"], "left_anti")
     score = F.col("total") / (F.col("dist") + 1)
     # the best branches of a tree: a bounded heap per task first, so a tree with very many leaves is no hot group
@@ -111,7 +107,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     chosen = best.select("tree_id", F.col("p.leaf").alias("leaf"), "branch_rank", (-F.col("p.s")).alias("branch_score"), F.col("p.leaf").alias("node"), F.col("p.d").alias("depth"))
     for k, jump in enumerate(jumps):
         c, j = chosen.alias("c"), jump.alias("j")
-        above = c.join(j, (F.col("c.tree_id") == F.col("j.tree_id")) & (F.col("c.node") == F.col("j.node")) & F.col("j.up").isNotNull())
+        above = c.join(j, (F.col("c.tree_id") == F.col("j.tree_id")) & (F.col("c.node") == F.col("j.node")))
         chosen = chosen.unionByName(above.select("c.tree_id", "c.leaf", "c.branch_rank", "c.branch_score", F.col("j.up").alias("node"), (F.col("c.depth") - 2**k).cast("int").alias("depth")))
         if k < len(jumps) - 1 and k % 3 == 2:
             chosen = cut(chosen)
