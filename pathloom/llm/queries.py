@@ -15,7 +15,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format,)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.decontaminate import contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("rk")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
@@ -32,3 +39,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(m) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op6_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+ls AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') AS x
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, ls WHERE len(w) >= l)),
+h AS (SELECT doc_id, s, dw.l AS l, item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.l = bw.l),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
