@@ -22,7 +22,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("rk")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.neardup import near_components
+
+    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op8_near_dedup)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
@@ -53,3 +59,18 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+_SPACED = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES["op8_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS t FROM d),
+c AS (SELECT t, min(doc_id) AS rep, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+x AS (SELECT rep, n, unnest(t) AS v FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.v = b.v AND a.rep < b.rep GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.seen),
+l AS (SELECT node, min(seen) AS label FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.t) AS n_shingles, coalesce(l.label, s.doc_id) AS component_id, coalesce(l.label, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.t = c.t LEFT JOIN l ON l.node = c.rep"""
