@@ -28,7 +28,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op8_near_dedup)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op8_near_dedup, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
