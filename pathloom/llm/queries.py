@@ -34,7 +34,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op8_near_dedup, op10_best_fit_packing)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op5_quality_classifier, op7_toxicity, op8_near_dedup, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
