@@ -88,7 +88,7 @@ class Words:
         after[:-1] = inside[1:]
         tails = offsets[1:][offsets[1:] > 0] - 1
         after[tails] = False
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self._sums = data, offsets, None
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
@@ -97,16 +97,22 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self, seeds: np.ndarray = BYTE_SEED_LOWER) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end, seeds)
+    def hashes(self, seeds: np.ndarray = BYTE_SEED_LOWER, prefix: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first prefix bytes."""
+        if self._sums is None:
+            self._sums = prefix_sums(self.data, seeds)
+        return sum_hashes(self._sums, self.start, self.end if prefix is None else np.minimum(self.end, self.start + prefix))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: np.ndarray = BYTE_SEED) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal spans equal hashes wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(seeds[data] * powers(_BASE, n), out=sums[1:])
-    inverse = powers(_BASE_INV, n + 1)
+def prefix_sums(data: np.ndarray, seeds: np.ndarray = BYTE_SEED) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(seeds[data] * powers(_BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def sum_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, equal spans equal hashes wherever they stand."""
+    inverse = powers(_BASE_INV, len(sums))
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * GOLDEN)
 
 

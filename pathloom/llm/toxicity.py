@@ -1,7 +1,7 @@
 r"""Toxicity scorer: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Features of a text: its distinct
-words, word pairs and pairs with one word between, each hashed to one of ``2**BITS`` slots. FTRL-proximal keeps a
+words, longer words' first ``PREFIXES`` bytes (stems that endings vary), word pairs and pairs with one word between, each hashed to one of ``2**BITS`` slots. FTRL-proximal keeps a
 learning rate per coordinate and sets coordinates whose evidence stays under the L1 bound to exactly zero, so what is
 broadcast for scoring is a short list of slots and weights (``2**BITS`` at most).
 
@@ -26,8 +26,9 @@ from pathloom.llm import textkit as tk
 
 BITS = 20
 TRAIN_ROWS = 20_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+PREFIXES = (4, 5, 6)
 #: True for bytes of a word: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -39,6 +40,10 @@ def slots(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = tk.Words(data, offsets, IN_WORD)
     h, row = w.hashes(), w.rows()
     own, kinds = [row], [h]
+    for size in PREFIXES:
+        long = w.end - w.start > size
+        own.append(row[long])
+        kinds.append(w.hashes(prefix=size)[long] ^ tk.U64(size))
     for back, salt in ((1, 3), (2, 5)):
         same = row[back:] == row[:-back]
         own.append(row[back:][same])
