@@ -46,7 +46,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op5_quality_classifier, op7_toxicity, op8_near_dedup, op10_best_fit_packing)}
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.lm_scoring import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op4_lm_scoring, op5_quality_classifier, op7_toxicity, op8_near_dedup, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
