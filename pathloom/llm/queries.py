@@ -52,7 +52,13 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op4_lm_scoring, op5_quality_classifier, op7_toxicity, op8_near_dedup, op10_best_fit_packing)}
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op4_lm_scoring, op5_quality_classifier, op7_toxicity, op8_near_dedup, op9_nearest, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
