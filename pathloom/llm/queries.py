@@ -58,7 +58,13 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_decontaminate, op4_lm_scoring, op5_quality_classifier, op7_toxicity, op8_near_dedup, op9_nearest, op10_best_fit_packing)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.substring_dedup import passage_report
+
+    return passage_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op4_lm_scoring, op5_quality_classifier, op6_decontaminate, op7_toxicity, op8_near_dedup, op9_nearest, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
