@@ -64,7 +64,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op4_lm_scoring, op5_quality_classifier, op6_decontaminate, op7_toxicity, op8_near_dedup, op9_nearest, op10_best_fit_packing)}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_suffix_dedup, op4_lm_scoring, op5_quality_classifier, op6_decontaminate, op7_toxicity, op8_near_dedup, op9_nearest, op10_best_fit_packing)}
 
 _SAID = "'</s>[INST] ok [/INST]'"
 ORACLES = {}
