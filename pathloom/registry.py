@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "d_base_metrics"
+from pathloom.plans import data_layer
+
+QUERIES: dict = {**data_layer.Q}
+ORACLES: dict[str, str] = {**data_layer.O}
+FLAGSHIP = "w1_monthly_log_returns"
