@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pathloom.plans import data_layer
+from pathloom.plans import data_layer, inference_layer, path_layer
 
-QUERIES: dict = {**data_layer.Q}
-ORACLES: dict[str, str] = {**data_layer.O}
-FLAGSHIP = "w1_monthly_log_returns"
+QUERIES: dict = {**data_layer.Q, **path_layer.Q, **inference_layer.Q}
+ORACLES: dict[str, str] = {**data_layer.O, **path_layer.O, **inference_layer.O}
+FLAGSHIP = "d_base_metrics"
