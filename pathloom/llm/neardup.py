@@ -6,8 +6,10 @@ form a class at once, so copies are never paired. Between classes:
 
 1. Inverted lists of the retained values. Values that one class alone retains are dropped. Linked sets (Jaccard
    index of 0.85 or more) share at least ``SHARED`` of ``K`` values except with a probability under 1e-7 (sets of
-   up to ``K`` shingles: never fewer than 85 %), so a class needs only the rarest s - SHARED + 1 of its s shared
-   values as keys: passages, lines and words that very many documents share give no list at all.
+   up to ``K`` shingles: never fewer than 85 %), so classes with fewer shared values have no partner. Those with
+   enough take the same test on their whole sets, where a link needs 85 % of either set: of its s shared values a
+   class of n shingles needs only the rarest s - 0.85 n + 1 as keys. A passage, line or word that very many
+   documents share gives no list unless it is nearly all of a document.
 2. In each list all members are compared with one leader, then, in later rounds, those still outside the leader's
    component with another one, until what is left can be paired directly. A list whose members are one component
    is finished: a group of thousands of near-copies costs a few comparisons a member, not all pairs, and no link
@@ -38,7 +40,7 @@ SHARED = 26
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Leader rounds at most; beyond them whatever is left is paired directly, however much it is.
-ROUNDS = 12
+ROUNDS = 4
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +73,16 @@ def set_rows(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), blob], ["node", "hashes"])
 
 
+def value_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hashes) to (node, n, v): the sets' values one by one."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            size = np.fromiter((len(x.as_buffer()) // 8 for x in part.column(1)), np.int64, part.num_rows)
+            values = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(values)], ["node", "n", "v"])
+
+
 def verify_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +119,18 @@ def near_components(documents: DataFrame) -> DataFrame:
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100).cast("int"))
     shared = values.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
-    index = shared.where(F.size("x") >= need).select(F.explode(F.slice("x.v", F.lit(1), F.size("x") - need + 1)).alias("key"), "node", "n")
+    near = cut(shared.where(F.size("x") >= need).select("node"))
+    sketch_of = nodes.join(near, "node", "left_semi")
+    sets = cut(docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_rows, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+    # the same filter once more on the whole sets of those that passed, where it is exact and far sharper
+    full = sets.mapInArrow(value_rows, "node long, n long, v long")
+    often = full.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = full.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
+    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    # how much of a class others share: the copy nearest to all others of its group leads the group's lists
+    mid = F.aggregate("x", F.lit(0.0), lambda t, e: t + F.log2(e["df"].cast("double"))) / F.col("n")
+    index = shared.where(F.size("x") >= need).select(F.explode(F.slice("x.v", F.lit(1), F.size("x") - need + 1)).alias("key"), "node", "n", F.round(mid, 6).alias("mid"))
     index = cut(index)
-    sketch_of = nodes.join(index.select("node").distinct(), "node", "left_semi")
-    involved = index.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(docs.join(involved, "doc_id", "left_semi").mapInArrow(set_rows, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("100 * least(na, nb) >= 85 * greatest(na, nb)").select("a", "b").distinct()
@@ -121,25 +140,30 @@ def near_components(documents: DataFrame) -> DataFrame:
         return x.select("a", "b", "x", "y").mapInArrow(verify_rows(PERCENT), "a long, b long")
 
     comp: DataFrame | None = None
-    rows = index.select("key", "node", "n", F.col("node").alias("comp"))
+    rows = index.select("key", "node", "n", "mid", F.col("node").alias("comp"))
     for turn in range(ROUNDS + 1):
-        # one leader a list: the smallest hash of node and round; it is compared with all others and retired
-        lead = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        open_ = rows.join(lead.where("lo < hi"), "key").select("key", "node", "n", "comp", "l", "size")
+        # one leader a list, the most shared class; it is compared with all others and retired
+        lead = rows.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("mid", "node")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        open_ = rows.join(lead.where("lo < hi"), "key").select("key", "node", "n", "mid", "comp", "l", "size")
         state = cut(open_)
         rest = state.where("comp <> l.comp").agg(F.count("*").alias("m"), F.sum("size").alias("pairs"), F.sum(F.when(F.col("size") <= 2, 0).otherwise(1)).alias("more")).first()
         if not rest["m"]:
             drop_cut(state)
             break
         others = state.where("comp <> l.comp")
-        last = turn == ROUNDS or (turn > 1 and rest["pairs"] <= 4 * rest["m"] + 100_000)
+        last = turn == ROUNDS or (turn > 0 and rest["pairs"] <= 4 * rest["m"] + 100_000)
         if last:  # few are outside their list's main component: pair those with all
-            o, s = others.alias("o"), state.alias("s")
-            met = o.join(s, (F.col("o.key") == F.col("s.key")) & (F.col("o.comp") != F.col("s.comp"))).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"), F.col("o.n").alias("na"), F.col("s.n").alias("nb"))
+            # a pair of many common keys is met in the list of the smallest one only
+            keys = index.join(state.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
+            o, s = others.join(keys, "node").alias("o"), state.join(keys, "node").alias("s")
+            apart = (F.col("o.comp") < F.col("s.comp")) | (F.col("s.comp") == F.col("s.l.comp")) & (F.col("o.comp") != F.col("s.comp"))
+            close = 100 * F.least("o.n", "s.n") >= PERCENT * F.greatest("o.n", "s.n")
+            once = F.array_min(F.array_intersect("o.keys", "s.keys")) == F.col("o.key")
+            met = o.join(s, (F.col("o.key") == F.col("s.key")) & apart & close & once).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"), F.col("o.n").alias("na"), F.col("s.n").alias("nb"))
         else:
             met = others.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
         links = cut(linked(met))
-        here = state.select("key", "node", "n", "comp", "l")
+        here = state.select("key", "node", "n", "mid", "comp", "l")
         if links.limit(1).count():
             at = comp if comp is not None else index.select("node", F.col("node").alias("label")).distinct()
             ends = links.join(at.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
@@ -150,7 +174,7 @@ def near_components(documents: DataFrame) -> DataFrame:
         drop_cut(links)
         if last:
             break
-        rows = here.where("node <> l.node").select("key", "node", "n", "comp")
+        rows = here.where("node <> l.node").select("key", "node", "n", "mid", "comp")
     base = members.select("doc_id", "rep").distinct()
     if comp is not None:
         base = base.join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("c"))
