@@ -186,7 +186,9 @@ def test_quality(spark, docs):
     from pathloom.llm.quality import keep_good, quality_scores
 
     rng = random.Random(3)
-    good = [(i, " ".join(("stone river amber quiet fold run".split() + ["light," if k % 7 else "over."])[rng.randrange(7)] + ("." if k % 11 == 0 else "") for k in range(120))) for i in range(200)]
+    from tests.llm.conftest import prose
+
+    good = [(i, ". ".join(prose(rng, 8) + ", " + prose(rng, 5) for _ in range(9))) for i in range(200)]
     bad = [(1000 + i, " ".join(rng.choice(["stone###", "river***", "amber$$$"]) for _ in range(100))) for i in range(20)] + [(2000 + i, "WORD WORD WORD " * 40) for i in range(20)]
     d = spark.createDataFrame(good + bad + [(5000, None), (5001, ""), (None, good[0][1])], "doc_id long, text string").repartition(2)
     got = {r.doc_id: r.accepted for r in quality_scores(d).collect()}
