@@ -234,10 +234,10 @@ def _(s, d):
     return st.px_month(s, d).select("month", "role", F.row_number().over(Window.orderBy("month", at)).cast("long").alias("place"))
 
 
-@q("u8_pooled_rows", with_views("px_month", "px_path") + "SELECT role, count(*) AS n, round(min(price), 4) AS lo FROM (SELECT role, price FROM px_month UNION ALL SELECT role, price FROM px_path) GROUP BY 1")
+@q("u8_pooled_rows", with_views("px_month", "px_path") + "SELECT role, count(*) AS n, round(min(price), 6) AS lo FROM (SELECT role, price FROM px_month UNION ALL SELECT role, price FROM px_path) GROUP BY 1")
 def _(s, d):
     p = st.px_month(s, d).select("role", "price").unionByName(st.px_path(s, d).select("role", "price"))
-    return p.groupBy("role").agg(F.count("*").alias("n"), R(F.min("price"), 4).alias("lo"))
+    return p.groupBy("role").agg(F.count("*").alias("n"), R(F.min("price"), 6).alias("lo"))
 
 
 @q("f6_fisher_z", "SELECT event_id, round(atanh((event_id % 199 - 99) / 100.0), 6) AS z FROM events")
