@@ -40,7 +40,9 @@ GRAM, WORD = 0, 1
 #: The end token's key among word hashes.
 END = 1
 #: Distinct strings that a task holds before it merges its counts.
-HELD = 3_000_000
+HELD = 1_200_000
+#: Bytes of text that a worker works on at a time.
+CHUNK = 2_000_000
 
 
 def canonical(data: np.ndarray, w: tk.Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held[kind] = [(k, n)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
-    for batch in tk.chunks(batches):
+    for batch in tk.chunks(batches, limit=CHUNK):
         data, offsets = tk.text_bytes(batch.column(0))
         w = tk.Words(data, offsets)
         text, at = canonical(data, w)
@@ -211,7 +213,7 @@ class Lookup:
     """Values by 64-bit key: two tables addressed by hash, the few that collide in both by binary search."""
 
     def __init__(self, k: np.ndarray, values: np.ndarray):
-        bits = max(int(np.ceil(np.log2(max(len(k), 1)))) + 2, 4)
+        bits = max(int(np.ceil(np.log2(max(len(k), 1)))) + 1, 4)
         self.parts = []
         rest = np.arange(len(k))
         for shift, mult in ((64 - bits, tk.MIX1), (64 - bits + 2, tk.MIX2)):
@@ -260,7 +262,7 @@ def score_rows(model):
             tables, words, n, v = model.value
             _models[key] = (Tree(tables), Lookup(words[0], np.log10((words[1] + 0.5) / (n + 0.5 * (v + 1)))))
         tree, common = _models[key]
-        for batch in tk.chunks(batches):
+        for batch in tk.chunks(batches, limit=CHUNK):
             data, offsets = tk.text_bytes(batch.column(2))
             w = tk.Words(data, offsets)
             text, at = canonical(data, w)
