@@ -100,6 +100,21 @@ def test_similar_spans_bridge_small_edits():
     assert similar_spans(a, np.arange(7000, 7200, dtype=np.uint32)) == []
 
 
+def test_similar_spans_find_passages_whose_parts_stand_earlier(monkeypatch):
+    from pathloom.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(1)
+    mk = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    for most in (sd.MATCHES, 0):
+        monkeypatch.setattr(sd, "MATCHES", most)
+        p, q = mk(56), mk(86)
+        for earlier, own in (([p[:26]], p), ([p[20:28]], p), ([q[:41]], q), ([q[:45], mk(3), q[45:]], q)):
+            a = np.concatenate([mk(20), *earlier, mk(20), own, mk(30)])
+            assert sd.similar_spans(a, np.concatenate([mk(40), own, mk(7)])) == [(40, 44 + len(own))]
+        x = np.tile(mk(3), 100)
+        assert sd.similar_spans(x, x) == [(0, 304)]
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
