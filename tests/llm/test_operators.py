@@ -115,6 +115,20 @@ def test_similar_spans_find_passages_whose_parts_stand_earlier(monkeypatch):
         assert sd.similar_spans(x, x) == [(0, 304)]
 
 
+def test_short_near_passages_are_met(spark):
+    from pathloom.llm.substring_dedup import repeated_spans
+
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(300):  # one word of 50 or 55 changed: a Jaccard index of 0.80 or 0.82
+        p = own(50 + i % 2 * 5)
+        q = [*p[:25], "changed", *p[26:]]
+        rows += [(10 * i + k, " ".join(own(rng.randint(20, 90)) + x + own(rng.randint(20, 90)))) for k, x in enumerate((p, q))]
+    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) >= 297 and all(r.doc % 10 == 1 for r in got)
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
