@@ -129,6 +129,19 @@ def test_short_near_passages_are_met(spark):
     assert len(got) >= 297 and all(r.doc % 10 == 1 for r in got)
 
 
+def test_passages_whose_leaders_hold_too_little(spark):
+    from pathloom.llm.substring_dedup import repeated_spans
+
+    rng = random.Random(8)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):  # documents 1 and 2 of each ten have 48 words of a passage, 3 and 4 all 60
+        p = own(60)
+        rows += [(10 * i + k, " ".join(own(rng.randint(20, 90)) + x + own(rng.randint(20, 90)))) for k, x in enumerate((p[:48], p[-48:], p, p), 1)]
+    got = {r.doc: sum(s.end - s.start for s in r.spans) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10 * i + 4: 60 for i in range(40)}
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
