@@ -2,7 +2,8 @@ r"""MinHash near-duplicates from bottom-k sketches of one hash function.
 
 A document's set holds its distinct ``SHINGLE``-word shingles (words ``[^\x20\x09-\x0D]+`` after lower-casing A-Z;
 fewer words: the whole sequence as one). Its sketch is the ``K`` smallest shingle hashes. Documents with equal sets
-form a class at once, so copies are never paired. Between classes:
+form a class at once, so copies are never paired. Words and threshold below are op8's; the pipeline's stage takes
+``STAGE_SHINGLE`` words and ``STAGE_PERCENT`` % (``SHARED`` stands for ``shared_least``). Between classes:
 
 1. Inverted lists of the retained values. Values that one class alone retains are dropped. Linked sets (Jaccard
    index of 0.85 or more) share at least ``SHARED`` of ``K`` values except with a probability under 1e-7 (sets of
@@ -24,6 +25,8 @@ included, share a component; rows that repeat a doc_id count as one document; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,22 @@ from pathloom.session import cut, drop_cut
 
 SHINGLE = 3
 K = 48
-SHARED = 26
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: The same for the stage of the pipeline, which is not bound to the query's contract.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Leader rounds at most; beyond them whatever is left is paired directly, however much it is.
 ROUNDS = 4
 
 
+def shared_least(percent: int, k: int = K) -> int:
+    """How many of k sketch values linked sets share, except with a probability under 1e-7."""
+    p, below, m = percent / 100, 0.0, 0
+    while (below := below + comb(k, m) * p**m * (1 - p) ** (k - m)) < 1e-7:
+        m += 1
+    return m
+
+
 def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tk.text_bytes(batch.column(1))
     words = tk.Words(data, offsets)
@@ -99,17 +111,17 @@ def verify_rows(percent: int):
     return run
 
 
-def _likely(a: str, b: str) -> F.Column:
+def _likely(a: str, b: str, percent: int) -> F.Column:
     """The union sketch's estimate is not below what a link can show."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return (F.col("__size") < K) & (100 * both >= PERCENT * F.col("__size")) | (F.col("__size") >= K) & (both >= SHARED)
+    return (F.col("__size") < K) & (100 * both >= percent * F.col("__size")) | (F.col("__size") >= K) & (both >= shared_least(percent))
 
 
-def near_components(documents: DataFrame) -> DataFrame:
+def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut(docs.mapInArrow(sketch_rows, "doc_id long, n long, s1 long, s2 long, sketch array<bigint>"))
+    sketches = cut(docs.mapInArrow(partial(sketch_rows, shingle=shingle), "doc_id long, n long, s1 long, s2 long, sketch array<bigint>"))
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = cut(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
@@ -117,27 +129,27 @@ def near_components(documents: DataFrame) -> DataFrame:
     nodes = cut(nodes)
     values = nodes.select("node", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100).cast("int"))
+    need = F.least(F.lit(shared_least(percent)), F.ceil(F.col("n") * percent / 100).cast("int"))
     shared = values.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
     near = cut(shared.where(F.size("x") >= need).select("node"))
     sketch_of = nodes.join(near, "node", "left_semi")
-    sets = cut(docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_rows, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+    sets = cut(docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(set_rows, shingle=shingle), "node long, hashes binary").dropDuplicates(["node", "hashes"]))
     # the same filter once more on the whole sets of those that passed, where it is exact and far sharper
     full = sets.mapInArrow(value_rows, "node long, n long, v long")
     often = full.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = full.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
-    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
     # how much of a class others share: the copy nearest to all others of its group leads the group's lists
     mid = F.aggregate("x", F.lit(0.0), lambda t, e: t + F.log2(e["df"].cast("double"))) / F.col("n")
     index = shared.where(F.size("x") >= need).select(F.explode(F.slice("x.v", F.lit(1), F.size("x") - need + 1)).alias("key"), "node", "n", F.round(mid, 6).alias("mid"))
     index = cut(index)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("100 * least(na, nb) >= 85 * greatest(na, nb)").select("a", "b").distinct()
+        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
         x = pairs.join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        x = x.withColumn("__size", F.least(F.size(F.array_union("sa", "sb")), F.lit(K))).where(_likely("sa", "sb")).select("a", "b")
+        x = x.withColumn("__size", F.least(F.size(F.array_union("sa", "sb")), F.lit(K))).where(_likely("sa", "sb", percent)).select("a", "b")
         x = x.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return x.select("a", "b", "x", "y").mapInArrow(verify_rows(PERCENT), "a long, b long")
+        return x.select("a", "b", "x", "y").mapInArrow(verify_rows(percent), "a long, b long")
 
     comp: DataFrame | None = None
     rows = index.select("key", "node", "n", "mid", F.col("node").alias("comp"))
@@ -157,7 +169,7 @@ def near_components(documents: DataFrame) -> DataFrame:
             keys = index.join(state.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
             o, s = others.join(keys, "node").alias("o"), state.join(keys, "node").alias("s")
             apart = (F.col("o.comp") < F.col("s.comp")) | (F.col("s.comp") == F.col("s.l.comp")) & (F.col("o.comp") != F.col("s.comp"))
-            close = 100 * F.least("o.n", "s.n") >= PERCENT * F.greatest("o.n", "s.n")
+            close = 100 * F.least("o.n", "s.n") >= percent * F.greatest("o.n", "s.n")
             once = F.array_min(F.array_intersect("o.keys", "s.keys")) == F.col("o.key")
             met = o.join(s, (F.col("o.key") == F.col("s.key")) & apart & close & once).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"), F.col("o.n").alias("na"), F.col("s.n").alias("nb"))
         else:
@@ -188,7 +200,7 @@ def near_components(documents: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(documents: DataFrame) -> DataFrame:
+def drop_near_copies(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns kept."""
-    out = near_components(documents).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    out = near_components(documents, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return documents.join(out, F.col("doc_id") == F.col("__gone"), "left_anti")

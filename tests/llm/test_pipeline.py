@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables: columns kept, each decision takes effect on what the stage before kept."""
 
+import random
 import re
 
 DIR = "/root/testdata/sf0.001"
@@ -35,3 +36,33 @@ def test_stages(spark):
         dirty = any(tuple(w[j : j + n]) in windows for n in {len(x) for x in windows} for j in range(len(w) - n + 1))
         assert dirty == (r.doc_id not in ids["decontaminate"])
     assert all(r.length <= 1024 and r.offset + r.length <= 1024 for r in seen["pack"])
+
+
+def test_near_dedup_stage_takes_five_words_and_80_percent(spark):
+    from pathloom.llm import stages
+    from pathloom.llm.neardup import PERCENT, shared_least
+
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for i in range(12):
+        w = own(400)
+        edited = list(w)
+        for k in range(0, 400, 40):
+            edited[k + i] = "edited"
+        block, short = w + own(60 + 5 * i), own(3)
+        texts |= {10 * i + k: " ".join(x) for k, x in enumerate((w, block, edited, short, short[:2] + own(1), w[: 340 - 5 * i]))}
+    texts |= {500 + i: t for i, t in enumerate((None, "", "one", "one"))}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set()
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in stages.near_dedup(spark, docs, DIR).collect()} == {i for i, g in group.items() if i == g}
+    assert shared_least(PERCENT) == 26
