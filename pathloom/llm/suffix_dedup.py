@@ -40,6 +40,23 @@ _POS = 24
 REPEATED, OPEN, WITNESS = 0, 1, 2
 
 
+def _elected(g: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the smallest hash, the first of equals, of each run of wide hashes; in slices whose places fit _POS bits."""
+    runs, most = len(g) - wide + 1, (1 << _POS) - wide + 1
+    out = np.empty(runs, np.int64)
+    for a in range(0, runs, most):
+        z = min(a + most, runs)
+        part = g[a : z + wide - 1]
+        low = (part >> tk.U64(_POS) << tk.U64(_POS)) | np.arange(len(part), dtype=np.uint64)
+        step = 1
+        while 2 * step <= wide:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        low = np.minimum(low[: z - a], low[wide - step : wide - step + z - a])
+        out[a:z] = a + (low & tk.U64((1 << _POS) - 1)).astype(np.int64)
+    return out
+
+
 def entries(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(row, lo, hi, gram hash, context hash): windows lo..hi (starts, in data) elect the same gram."""
     n = len(data)
@@ -49,13 +66,7 @@ def entries(data: np.ndarray, at: np.ndarray, span: int = SPAN, gram: int = GRAM
     m = n - gram + 1
     start = np.arange(m)
     g = tk.sum_hashes(sums, start, start + gram)
-    low = (g >> tk.U64(_POS) << tk.U64(_POS)) | start.astype(np.uint64)
-    wide, step = span - gram + 1, 1
-    while 2 * step <= wide:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    low = np.minimum(low[: n - span + 1], low[wide - step : wide - step + n - span + 1])
-    pick = (low & tk.U64((1 << _POS) - 1)).astype(np.int64)
+    pick = _elected(g, span - gram + 1)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(pick)]
     fits = np.arange(len(pick)) + span <= at[1:][row]
     p = np.flatnonzero(fits)

@@ -71,6 +71,31 @@ def test_exact_repeats(docs, corpus):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_places_beyond_24_bits():
+    from pathloom.llm import substring_dedup, suffix_dedup
+
+    rng = np.random.default_rng(2)
+    text, own = rng.integers(0, 256, (1 << 24) + 5000, dtype=np.uint8), rng.integers(0, 256, 400, dtype=np.uint8)
+    text[(1 << 24) + 1000 : (1 << 24) + 1400] = own
+    at = np.array([0, len(text), len(text) + 400])
+    row, lo, _, g, _ = suffix_dedup.entries(np.concatenate([text, own]), at)
+    assert set(g[row == 1]) <= set(g[(row == 0) & (lo > (1 << 24) + 800)])
+    # a small limit gives what no limit gives, slice by slice
+    values = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    a = rng.integers(0, 8000, 500)
+    z = a + rng.integers(1, 900, 500)
+    want = [i + int(np.argmin(values[i:j] >> np.uint64(24))) for i, j in zip(a, z, strict=True)]
+    elected = [i + int(np.argmin(values[i : i + 121])) for i in range(9000 - 120)]
+    for bits in (24, 12):
+        for m in (suffix_dedup, substring_dedup):
+            m._POS, was = bits, m._POS
+            try:
+                got = m._elected(values, 121) if m is suffix_dedup else m.RangeMin(values, 900)(a, z)
+            finally:
+                m._POS = was
+            assert got.tolist() == (elected if m is suffix_dedup else want)
+
+
 def test_passages(spark, docs, corpus):
     from pathloom.llm.substring_dedup import cut_repeats, passage_report
 
