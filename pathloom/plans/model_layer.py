@@ -18,6 +18,7 @@ from pathloom.sources.standin import ROLES, with_views
 Q, O = {}, {}
 SEED, PI, P = 20260714, [0.4, 0.3, 0.2, 0.1], [[0.7, 0.1, 0.1, 0.1], [0.2, 0.6, 0.1, 0.1], [0.1, 0.2, 0.6, 0.1], [0.25, 0.25, 0.25, 0.25]]
 HORIZON, PATHS = 24, 40
+RESTARTS = 50
 
 
 def q(name: str, sql: str | None = None):
@@ -31,13 +32,14 @@ def q(name: str, sql: str | None = None):
 
 
 def _pools(s, d):
-    one = st.state_path(s, d).where("path_id = 0")
+    daily = _library(s, d).select(F.col("source_month").alias("month"))  # a month without a whole session cannot be drawn
+    one = st.state_month(s, d).join(daily, "month", "left_semi")
     rank = F.row_number().over(Window.partitionBy("state").orderBy("period_index")) - 1
     return one.select("state", rank.cast("long").alias("rank"), F.col("month").alias("source_month"))
 
 
 def _library(s, d):
-    """Daily returns of path 0's months, sessions numbered in their month."""
+    """Daily returns of the history's months, sessions numbered in their month."""
     w = Window.partitionBy("role").orderBy("session")
     r = st.px_daily(s, d).withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(w))
     wide = r.groupBy("session").pivot("role", ROLES).agg(F.first("r")).na.drop("any", subset=ROLES).withColumn("source_month", F.date_format("session", "yyyy-MM"))
@@ -98,7 +100,7 @@ def _(s, d):
 
 
 def _trace_rows(s, d, conditioned: bool):
-    one = st.state_path(s, d).where("path_id = 0").orderBy("period_index").select("state").collect()  # one monthly history
+    one = st.state_month(s, d).orderBy("period_index").select("state").collect()  # one monthly history
     source = np.array([r[0] for r in one])
     links = np.ones(len(source), bool)
 
@@ -149,14 +151,14 @@ def _(s, d):
 
 @q("m1_fit_regimes")
 def _(s, d):
-    x = st.ret_path(s, d).where("path_id = 0").withColumn("segment_id", F.lit(0))
-    return rg.fit_restarts(x, ROLES, 4, 8, SEED)
+    x = st.ret_month(s, d).withColumn("segment_id", F.lit(0))
+    return rg.fit_restarts(x, ROLES, 4, RESTARTS, SEED)
 
 
 @q("t3_best_restart")
 def _(s, d):
-    x = st.ret_path(s, d).where("path_id = 0").withColumn("segment_id", F.lit(0))
-    f = rg.fit_restarts(x, ROLES, 2, 8, SEED)
+    x = st.ret_month(s, d).withColumn("segment_id", F.lit(0))
+    f = rg.fit_restarts(x, ROLES, 2, RESTARTS, SEED)
     return f.agg(F.max_by(F.struct("restart", "log_likelihood", "converged"), F.struct("log_likelihood", -F.col("restart"))).alias("b")).select("b.*")
 
 
@@ -170,7 +172,7 @@ def _(s, d):
         g = group.sort_by("period_index")
         v = np.stack([g[r].to_numpy() for r in ROLES], 1)
         v = (v - v.mean(0)) / v.std(0)
-        f = rg.canonical(rg.fit_once(v, [len(v)], 2, SEED, 0, rounds=50))
+        f = rg.canonical(rg.fit_once(v, [len(v)], 2, SEED, 0))
         e = rg.log_emissions(v, f["means"], f["spread"])
         _, smooth, _, _ = rg.forward_backward(e, f["start"], f["transition"])
         return pa.table({"path_id": g["path_id"], "period_index": g["period_index"], "state": rg.viterbi(e, f["start"], f["transition"]), "probability": np.exp(smooth.max(1))})
@@ -226,10 +228,10 @@ def _(s, d):
 
 @q("t9_minimum_bic")
 def _(s, d):
-    rows = st.ret_path(s, d).where("path_id = 0").orderBy("period_index").select(*ROLES).collect()
-    x = np.array([tuple(r) for r in rows])
-    x = (x - x.mean(0)) / x.std(0)
-    out = [(k, float(rg.bic(rg.fit_once(x, [len(x)], k, SEED, 0, rounds=40, tied=True)["log_likelihood"], len(x), k, 3))) for k in (2, 3)]
+    x = st.ret_month(s, d).withColumn("segment_id", F.lit(0))
+    n = x.count()
+    best = [(k, rg.fit_restarts(x, ROLES, k, RESTARTS, SEED, tied=True).agg(F.max("log_likelihood")).first()[0]) for k in range(2, 6)]
+    out = [(k, float(rg.bic(l, n, k, len(ROLES)))) for k, l in best]
     return s.createDataFrame(out, "n_states long, bic double").agg(F.min_by("n_states", F.struct("bic", "n_states")).alias("n_states"))
 
 

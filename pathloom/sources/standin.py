@@ -43,24 +43,42 @@ def calendar_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("session", F.date_format("session", "yyyy-MM").alias("month"), (F.col("i") + 1).cast("long").alias("session_no"))
 
 
-def ret_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, period_index, month, equity, muni_bond, taxable_bond): monthly log returns, complete months only."""
+def _returns(priced: DataFrame) -> DataFrame:
     w = Window.partitionBy("path_id", "role").orderBy("month")
-    r = px_path(spark, sf_dir).withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(w))
+    r = priced.withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(w))
     wide = r.groupBy("path_id", "month").pivot("role", ROLES).agg(F.first("r")).na.drop("any", subset=ROLES)
     number = F.row_number().over(Window.partitionBy("path_id").orderBy("month")).cast("long")
     return wide.select("path_id", number.alias("period_index"), "month", *ROLES)
 
 
+def ret_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path_id, period_index, month, equity, muni_bond, taxable_bond): monthly log returns, complete months only."""
+    return _returns(px_path(spark, sf_dir))
+
+
+def ret_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table's one monthly history, columns as ret_path's."""
+    return _returns(px_month(spark, sf_dir).withColumn("path_id", F.lit(0).cast("long")))
+
+
 def long_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ret_path as (path_id, period_index, role, r)."""
     return ret_path(spark, sf_dir).unpivot(["path_id", "period_index", "month"], ROLES, "role", "r")
 
 
+def _states(returns: DataFrame) -> DataFrame:
+    w = Window.partitionBy("path_id").orderBy("equity", "period_index")
+    return returns.withColumn("state", (F.ntile(4).over(w) - 1).cast("long"))
+
+
 def state_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ret_path with state 0..3: the quarter of the path that the month's equity return ranks in."""
-    w = Window.partitionBy("path_id").orderBy("equity", "period_index")
-    return ret_path(spark, sf_dir).withColumn("state", (F.ntile(4).over(w) - 1).cast("long"))
+    return _states(ret_path(spark, sf_dir))
+
+
+def state_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ret_month with states as state_path's."""
+    return _states(ret_month(spark, sf_dir))
 
 
 _ROLE = "CASE l_returnflag WHEN 'A' THEN 'equity' WHEN 'R' THEN 'muni_bond' ELSE 'taxable_bond' END AS role"

@@ -41,3 +41,20 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", FAST_ROWS_ONLY)
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_fits_read_the_whole_table(spark, tmp_path):
+    from pathloom.sources import standin
+
+    rows = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    rows.where("l_suppkey % 4 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")  # no row of path 0
+    assert standin.ret_month(spark, str(tmp_path)).count() > 12
+    fits = registry.QUERIES["m1_fit_regimes"](spark, str(tmp_path)).collect()
+    assert [f.restart for f in sorted(fits, key=lambda f: f.restart)] == list(range(50))
+    best = registry.QUERIES["t3_best_restart"](spark, str(tmp_path)).collect()
+    assert len(best) == 1 and 0 <= best[0].restart < 50
+    assert registry.QUERIES["t9_minimum_bic"](spark, str(tmp_path)).first().n_states in range(2, 6)
+    for name in ("g8_generate_paths", "g14_conditioned_bootstrap", "g16_stationary_bootstrap"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert registry.QUERIES["y8_replay_equality"](spark, str(tmp_path)).first().differences == 0
+    assert all(r.exact for r in registry.QUERIES["v6_generated_compounding"](spark, str(tmp_path)).collect())
