@@ -6,8 +6,8 @@
    the counts, expectation-maximisation estimates the share of good documents and each labeller's accuracy on good and
    on bad ones, labellers being independent given the class.
 3. Each pattern's posterior is the weak label of its documents. On a bounded sample (``TRAIN_ROWS`` documents, the
-   smallest hashes of doc_id and text) a linear scorer over hashed features, the labellers' ratios in steps and the
-   words' shapes, is trained against the posteriors.
+   smallest hashes of doc_id and text) a linear scorer over hashed features, the labellers' ratios in steps, is
+   trained against the posteriors.
 4. The scorer, ``2**BITS`` weights, scores every whole document.
 
 Defined results: null, empty and wordless texts score 0 and are rejected; equal texts score equal; rows that repeat
