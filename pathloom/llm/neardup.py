@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm import textkit as tk
@@ -45,6 +45,8 @@ PERCENT = 85
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Leader rounds at most; beyond them whatever is left is paired directly, however much it is.
 ROUNDS = 4
+#: Open lists of a class up to which its keys travel with it in the closing join.
+KEYS = 64
 
 
 def shared_least(percent: int, k: int = K) -> int:
@@ -130,52 +132,66 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     values = nodes.select("node", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(shared_least(percent)), F.ceil(F.col("n") * percent / 100).cast("int"))
-    shared = values.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
-    near = cut(shared.where(F.size("x") >= need).select("node"))
+    shared = values.join(often.select("v"), "v").groupBy("node", "n").agg(F.count("*").alias("s"))
+    near = cut(shared.where(F.col("s") >= need).select("node"))
     sketch_of = nodes.join(near, "node", "left_semi")
     sets = cut(docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(set_rows, shingle=shingle), "node long, hashes binary").dropDuplicates(["node", "hashes"]))
     # the same filter once more on the whole sets of those that passed, where it is exact and far sharper
     full = sets.mapInArrow(value_rows, "node long, n long, v long")
     often = full.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = full.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("x"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    # how much of a class others share: the copy nearest to all others of its group leads the group's lists
-    mid = F.aggregate("x", F.lit(0.0), lambda t, e: t + F.log2(e["df"].cast("double"))) / F.col("n")
-    index = shared.where(F.size("x") >= need).select(F.explode(F.slice("x.v", F.lit(1), F.size("x") - need + 1)).alias("key"), "node", "n", F.round(mid, 6).alias("mid"))
+    order = Window.partitionBy("node").orderBy("df", "v")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # mid: how much of a class others share; the copy nearest to all others of its group leads the group's lists
+    ranked = full.join(often, "v").select(
+        F.col("v").alias("key"), "node", "n", F.count("*").over(whole).alias("s"), F.row_number().over(order).alias("i"), F.sum(F.log2(F.col("df").cast("double"))).over(whole).alias("mid")
+    )
+    index = ranked.where((F.col("s") >= need) & (F.col("i") <= F.col("s") - need + 1)).select("key", "node", "n", "s", "i", F.round(F.col("mid") / F.col("n"), 6).alias("mid"))
     index = cut(index)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        x = pairs.join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        x = pairs.distinct().join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         x = x.withColumn("__size", F.least(F.size(F.array_union("sa", "sb")), F.lit(K))).where(_likely("sa", "sb", percent)).select("a", "b")
         x = x.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         return x.select("a", "b", "x", "y").mapInArrow(verify_rows(percent), "a long, b long")
 
+    def may_link(x: str, y: str) -> F.Column:
+        """Two members of a list can be linked at all: by their shared values, and by the place of this key among them."""
+        n, s, i = ([F.col(f"{side}.{c}") for side in (x, y)] for c in "nsi")
+        least = F.ceil((n[0] + n[1]) * percent / (100 + percent))  # values that linked sets of these sizes share
+        return (F.least(*s) >= least) & (i[0] <= s[0] - least + 1) & (i[1] <= s[1] - least + 1) & (100 * F.least(*n) >= percent * F.greatest(*n))
+
     comp: DataFrame | None = None
-    rows = index.select("key", "node", "n", "mid", F.col("node").alias("comp"))
+    own = ["key", "node", "n", "s", "i", "mid", "comp"]
+    rows = index.withColumn("comp", F.col("node"))
+    room = (100 + percent) * F.col("s") - percent * F.col("n")  # a member links with sets of room / percent values at most
     for turn in range(ROUNDS + 1):
         # one leader a list, the most shared class; it is compared with all others and retired
-        lead = rows.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("mid", "node")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        open_ = rows.join(lead.where("lo < hi"), "key").select("key", "node", "n", "mid", "comp", "l", "size")
-        state = cut(open_)
-        rest = state.where("comp <> l.comp").agg(F.count("*").alias("m"), F.sum("size").alias("pairs"), F.sum(F.when(F.col("size") <= 2, 0).otherwise(1)).alias("more")).first()
+        lead = rows.groupBy("key").agg(
+            F.max_by(F.struct("node", "n", "s", "i", "comp"), F.struct("mid", "node")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min("n").alias("least_n"), F.max(room).alias("most_room"),
+        )
+        alive = (percent * F.col("least_n") <= room) & (percent * F.col("n") <= F.col("most_room"))
+        state = cut(rows.join(lead.where("lo < hi"), "key").where(alive).select(*own, "l"))
+        sizes = state.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("l.comp")).alias("m")).where("m > 0")
+        rest = sizes.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("size")).alias("pairs")).first()
         if not rest["m"]:
             drop_cut(state)
             break
         others = state.where("comp <> l.comp")
         last = turn == ROUNDS or (turn > 0 and rest["pairs"] <= 4 * rest["m"] + 100_000)
         if last:  # few are outside their list's main component: pair those with all
-            # a pair of many common keys is met in the list of the smallest one only
-            keys = index.join(state.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
-            o, s = others.join(keys, "node").alias("o"), state.join(keys, "node").alias("s")
+            # a pair of many common keys is met in the list of the rarest one only; sets of very many keys meet in each
+            keys = state.groupBy("node").agg(F.count("*").alias("__m"), F.sort_array(F.collect_list(F.struct("i", "key"))).alias("keys")).where(f"__m <= {KEYS}").select("node", "keys.key")
+            keys = keys.withColumnRenamed("key", "keys")
+            o, s = others.join(keys, "node", "left").alias("o"), state.join(keys, "node", "left").alias("s")
             apart = (F.col("o.comp") < F.col("s.comp")) | (F.col("s.comp") == F.col("s.l.comp")) & (F.col("o.comp") != F.col("s.comp"))
-            close = 100 * F.least("o.n", "s.n") >= percent * F.greatest("o.n", "s.n")
-            once = F.array_min(F.array_intersect("o.keys", "s.keys")) == F.col("o.key")
-            met = o.join(s, (F.col("o.key") == F.col("s.key")) & apart & close & once).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"), F.col("o.n").alias("na"), F.col("s.n").alias("nb"))
+            once = F.coalesce(F.get(F.array_intersect("o.keys", "s.keys"), F.lit(0)) == F.col("o.key"), F.lit(True))
+            met = o.join(s, (F.col("o.key") == F.col("s.key")) & apart & may_link("o", "s") & once).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"))
         else:
-            met = others.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
+            met = others.alias("o").where(may_link("o", "o.l")).select(F.least("o.node", "o.l.node").alias("a"), F.greatest("o.node", "o.l.node").alias("b"))
         links = cut(linked(met))
-        here = state.select("key", "node", "n", "mid", "comp", "l")
+        here = state
         if links.limit(1).count():
             at = comp if comp is not None else index.select("node", F.col("node").alias("label")).distinct()
             ends = links.join(at.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
@@ -186,7 +202,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         drop_cut(links)
         if last:
             break
-        rows = here.where("node <> l.node").select("key", "node", "n", "mid", "comp")
+        rows = here.where("node <> l.node").select(*own)
     base = members.select("doc_id", "rep").distinct()
     if comp is not None:
         base = base.join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("c"))

@@ -14,7 +14,7 @@ MIX1, MIX2, GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3
 _BASE = 0xD1342543DE82EF95  # an odd 64-bit multiplier: its powers have inverses modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text worked on at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
