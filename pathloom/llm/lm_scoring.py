@@ -5,16 +5,17 @@ the last one by a line feed, which is the end token (an empty text is the end al
 choices; each choice has a Krichevsky-Trofimov estimate under the preceding 0 to ``DEPTH`` bytes, and the estimates of
 all depths are mixed by their context-tree weights, learned from the training documents.
 
-The counts of all training documents' (DEPTH + 1)-byte strings are aggregated, in each task before the shuffle; those
-of shorter contexts follow from them. Of each depth the tree keeps the most frequent contexts, each with all bytes
-that ever follow it, down to the count at which ``GRAMS`` context-byte strings would be passed: what is broadcast is
-bounded alike at any input size. Contexts left out count, pooled, on the children's side when the weights of the
-context above are learned. Byte probabilities of the kept strings are tabulated; any other byte's are put together
-bit by bit from the deepest nodes that exist, so the probabilities of all bytes after a context sum to one.
-``score`` is the log10 probability, ``bits_per_byte`` the code length.
-
-The unigram base needs every training token's count. Tokens that make up at least one in ``COMMON`` of the training
-tokens are looked up in a broadcast table (``COMMON`` rows at most); the others are joined.
+The counts of all training documents' (DEPTH + 1)-byte strings are aggregated, in each task before the shuffle, and
+all of them are the tree: what is gathered grows with the corpus, no context is left out. The strings are dealt by the
+last ``SUFFIX`` bytes of their context, so a task holds whole subtrees: it mixes them from the deepest contexts up
+(``subtree_rows``). The tree above, contexts of ``TOP`` bytes and less, is at most 2^(8 TOP) contexts of 255 choices at
+any input size and is made on the driver; with it the tasks go down again and give each string its probability
+(``string_rows``). Strings that stand in held-out documents alone are counted with zero, so they get theirs as well: a
+bit's estimate is that of the deepest context that training has seen, so the probabilities of all bytes after a context
+sum to one. ``score`` is the log10 probability, ``bits_per_byte`` the code length.
+
+A text is scored by adding up its strings. The strings and tokens of highest counts, ``COMMON`` rows of either at most,
+are looked up in a broadcast table; all others are joined.
 
 Defined results: null and empty texts are the end token; rows are told apart by doc_id and text, repeated rows get
 equal scores; a row without doc_id is learned from; without training rows every bit costs one bit and the base is
@@ -31,18 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import textkit as tk
-from pathloom.session import cut, drop_cut
+from pathloom.session import cut
 
 DEPTH = 5
-GRAMS = 2**20
+TOP, SUFFIX = 2, 3
 COMMON = 2**20
+#: Strings of whole suffixes that a task works on at a time, more only if one suffix has more.
+RUN = 200_000
 GRAM, WORD = 0, 1
 #: The end token's key among word hashes.
 END = 1
 #: Distinct strings that a task holds before it merges its counts.
 HELD = 1_200_000
 #: Bytes of text that a worker works on at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def canonical(data: np.ndarray, w: tk.Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def _counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to (kind, key, n): a task's distinct byte strings and words with their counts."""
+    """(text, held) to (kind, key, n): a task's distinct byte strings and words with their counts; held texts count zero."""
     held: dict[int, list] = {GRAM: [], WORD: []}
 
     def flush(kind: int) -> pa.RecordBatch:
@@ -108,13 +111,18 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held[kind] = [(k, n)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
-    for batch in tk.chunks(batches, limit=CHUNK):
-        data, offsets = tk.text_bytes(batch.column(0))
-        w = tk.Words(data, offsets)
-        text, at = canonical(data, w)
-        k = keys(text)
-        held[GRAM].append(_counted(k[_valid(at, len(k))]))
-        held[WORD].append(_counted(np.append(w.hashes().view(np.int64), np.full(batch.num_rows, END))))
+    for whole in tk.chunks(batches, limit=CHUNK):
+        out = whole.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for counts, batch in ((1, whole.filter(pa.array(~out))), (0, whole.filter(pa.array(out)))):
+            if not batch.num_rows:
+                continue
+            data, offsets = tk.text_bytes(batch.column(0))
+            w = tk.Words(data, offsets)
+            text, at = canonical(data, w)
+            k = keys(text)
+            for kind, found in ((GRAM, k[_valid(at, len(k))]), (WORD, np.append(w.hashes().view(np.int64), np.full(batch.num_rows, END)))):
+                own, n = _counted(found)
+                held[kind].append((own, n * counts))
         for kind in (GRAM, WORD):
             if sum(len(x[0]) for x in held[kind]) > HELD:
                 full = flush(kind)
@@ -138,75 +146,125 @@ def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-class Tree:
-    """Weights and predictions. tables[d]: sorted keys of d + 1 bytes and their counts."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(tables) - 1
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = []  # per bit and depth: node ids, probability of a one
-        logs = np.zeros(len(tables[-1][0]))
-        for bit in range(8):
-            ids, ones, zeros, known = [], [], [], []
-            for k, n in tables:
-                node, one = k >> (8 - bit), (k >> (7 - bit)) & 1
-                at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(k) else np.zeros(0, np.int64)
-                ids.append(node[at])
-                ones.append(np.add.reduceat(n * one, at).astype(float) if len(k) else np.zeros(0))
-                zeros.append(np.add.reduceat(n * (1 - one), at).astype(float) if len(k) else np.zeros(0))
-            parent = [None] + [np.searchsorted(ids[d - 1], ids[d] & ((1 << (8 * (d - 1) + bit)) - 1)) for d in range(1, self.depth + 1)]
-            # from the deepest contexts up: log evidence of this node's estimate and of its children's mixture
-            weight: list[np.ndarray] = [np.zeros(0)] * (self.depth + 1)
-            mixed = np.zeros(0)
-            for d in range(self.depth, -1, -1):
-                own = _kt(zeros[d], ones[d])
-                if d == self.depth:
-                    weight[d], mixed = np.ones(len(own)), own
-                    continue
-                m = len(own)
-                below = np.bincount(parent[d + 1], mixed, minlength=m)
-                a = np.maximum(zeros[d] - np.bincount(parent[d + 1], zeros[d + 1], minlength=m), 0)
-                b = np.maximum(ones[d] - np.bincount(parent[d + 1], ones[d + 1], minlength=m), 0)
-                below = below + _kt(a, b)
-                weight[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-                mixed = np.logaddexp(own, below) - np.log(2)
-            # from the root down: each node's prediction if it is the deepest that exists
-            done, left = np.zeros(len(ids[0])), np.ones(len(ids[0]))
-            for d in range(self.depth + 1):
-                if d:
-                    done, left = done[parent[d]], left[parent[d]]
-                p = (ones[d] + 0.5) / (ones[d] + zeros[d] + 1)
-                known.append((ids[d], done + left * p))
-                done, left = done + left * weight[d] * p, left * (1 - weight[d])
-            self.nodes.append(known)
-            k = tables[-1][0]
-            if len(k):
-                p = known[-1][1][np.searchsorted(known[-1][0], k >> (8 - bit))]
-                logs += np.log(np.where((k >> (7 - bit)) & 1, p, 1 - p))
-        self.table = Lookup(tables[-1][0], logs)
-
-    def slow(self, k: np.ndarray) -> np.ndarray:
-        """Log probability of bytes bit by bit, each from the deepest node that exists."""
-        out = np.zeros(len(k))
-        for bit in range(8):
-            p, open_ = np.full(len(k), 0.5), np.ones(len(k), bool)
-            for d in range(self.depth, -1, -1):
-                ids, ones = self.nodes[bit][d]
-                if not len(ids):
-                    continue
-                node = (k & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)
-                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
-                hit = open_ & (ids[at] == node)
-                p[hit] = ones[at[hit]]
-                open_ &= ~hit
-            out += np.log(np.where((k >> (7 - bit)) & 1, p, 1 - p))
-        return out
-
-    def logs(self, k: np.ndarray) -> np.ndarray:
-        out, missing = self.table(k)
-        if len(missing):
-            rare, where = np.unique(k[missing], return_inverse=True)
-            out[missing] = self.slow(rare)[where]
-        return out
+def _below(ids: np.ndarray, d: int, bit: int) -> np.ndarray:
+    """The node of d context bytes above each node of one byte more: the same choice, the oldest byte left out."""
+    return ids & ((1 << (8 * d + bit)) - 1)
+
+
+class Level:
+    """The nodes of one depth and bit: id (context and the bits before), counts, weight of the own estimate, mixture."""
+
+    def __init__(self, k: np.ndarray, n: np.ndarray, d: int, bit: int):
+        self.ids, self.at = np.unique((k & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit), return_inverse=True)
+        self.ones = np.bincount(self.at, n * ((k >> (7 - bit)) & 1), minlength=len(self.ids))
+        self.all = np.bincount(self.at, n, minlength=len(self.ids))
+        self.own = _kt(self.all - self.ones, self.ones)
+        self.p = (self.ones + 0.5) / (self.all + 1)
+
+    def mix(self, below: np.ndarray | None) -> None:
+        """below: log evidence of the children's mixtures, None for the deepest contexts."""
+        if below is None:
+            self.weight, self.mixed = np.ones(len(self.ids)), self.own
+        else:
+            self.weight = 1 / (1 + np.exp(np.clip(below - self.own, -700, 700)))
+            self.mixed = np.logaddexp(self.own, below) - np.log(2)
+
+
+def _levels(k: np.ndarray, n: np.ndarray, bit: int, first: int, last: int, deeper: tuple[np.ndarray, np.ndarray] | None = None) -> list[Level]:
+    """The levels of depths first to last, mixed from the last up. deeper: ids of depth last and the evidence below them."""
+    out: list[Level] = []
+    for d in range(last, first - 1, -1):
+        level = Level(k, n, d, bit)
+        below = None
+        if out:
+            below = np.bincount(np.searchsorted(level.ids, _below(out[0].ids, d, bit)), out[0].mixed, minlength=len(level.ids))
+        elif deeper is not None:
+            below = np.zeros(len(level.ids))
+            below[np.searchsorted(level.ids, deeper[0])] = deeper[1]
+        level.mix(below)
+        out.insert(0, level)
+    return out
+
+
+class Down:
+    """From the root down: what the contexts so far predict (done), the weight that is left, and each string's own
+    prediction by the deepest context that training has seen."""
+
+    def __init__(self, n: int):
+        self.done, self.left, self.value = np.zeros(n), np.ones(n), np.full(n, 0.5)
+
+    def step(self, p: np.ndarray, weight: np.ndarray, seen: np.ndarray) -> None:
+        self.value = np.where(seen, self.done + self.left * p, self.value)
+        self.done, self.left = self.done + self.left * weight * p, self.left * (1 - weight)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, n), rows in order of their suffix, in runs of whole suffixes."""
+    mask = (1 << (8 * SUFFIX)) - 1
+    k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        k, n = np.append(k, batch.column(0).to_numpy()), np.append(n, batch.column(1).to_numpy())
+        if len(k) >= RUN:
+            suffix = (k >> 8) & mask
+            full = int(np.flatnonzero(suffix != suffix[-1])[-1]) + 1 if suffix[0] != suffix[-1] else 0
+            if full:
+                yield k[:full], n[:full]
+                k, n = k[full:], n[full:]
+    if len(k):
+        yield k, n
+
+
+def subtree_rows(depth: int = DEPTH):
+    """(key, n) by suffix to (node, mixed): log evidence below each context of TOP bytes and choice; node ends in the bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n in _suffixes(batches):
+            k, n = k[n > 0], n[n > 0]
+            for bit in range(8):
+                first = _levels(k, n, bit, TOP + 1, depth)[0]
+                ids, at = np.unique(_below(first.ids, TOP, bit), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids << 3 | bit), pa.array(np.bincount(at, first.mixed, minlength=len(ids)))], ["node", "mixed"])
+
+    return run
+
+
+def top_tables(k: np.ndarray, n: np.ndarray, node: np.ndarray, mixed: np.ndarray) -> list[list[tuple[np.ndarray, ...]]]:
+    """Per bit: of each depth up to TOP the node ids, what holds above them (done, left), their estimate and weight."""
+    out = []
+    for bit in range(8):
+        own = (node & 7) == bit
+        order = np.argsort(node[own])
+        out.append([(x.ids, x.p, x.weight) for x in _levels(k, n, bit, 0, TOP, (node[own][order] >> 3, mixed[own][order]))])
+    return out
+
+
+def string_logs(k: np.ndarray, n: np.ndarray, top: list, depth: int = DEPTH) -> np.ndarray:
+    """ln probability of each string's byte after its context; k holds whole suffixes."""
+    logs = np.zeros(len(k))
+    for bit in range(8):
+        down = Down(len(k))
+        for d, (ids, p, weight) in enumerate(top[bit]):
+            if not len(ids):
+                continue
+            node = (k & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)
+            at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+            seen = ids[at] == node
+            down.step(np.where(seen, p[at], 0.5), np.where(seen, weight[at], 0.0), seen)
+        for level in _levels(k, n, bit, TOP + 1, depth):
+            seen = level.all[level.at] > 0
+            down.step(level.p[level.at], np.where(seen, level.weight[level.at], 0.0), seen)
+        logs += np.log(np.where((k >> (7 - bit)) & 1, down.value, 1 - down.value))
+    return logs
+
+
+def string_rows(top, depth: int = DEPTH):
+    """(key, n) by suffix to (key, n, value): log10 probability of the byte after its context. top: a broadcast top_tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n in _suffixes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(string_logs(k, n, top.value, depth) / np.log(10))], ["key", "n", "value"])
+
+    return run
 
 
 class Lookup:
@@ -251,92 +309,92 @@ class Lookup:
         return out, missing
 
 
-_models: dict[int, tuple] = {}
+_tables: list = []
 
 
-def score_rows(model):
+def score_rows(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = model.id if hasattr(model, "id") else 0
-        if key not in _models:  # once a worker
-            _models.clear()
-            tables, words, n, v = model.value
-            _models[key] = (Tree(tables), Lookup(words[0], np.log10((words[1] + 0.5) / (n + 0.5 * (v + 1)))))
-        tree, common = _models[key]
+        if not _tables or _tables[0] is not common.value:  # once a worker
+            _tables[:] = common.value, *(Lookup(*x) for x in common.value)
+        _, grams, tokens = _tables
         for batch in tk.chunks(batches, limit=CHUNK):
             data, offsets = tk.text_bytes(batch.column(2))
             w = tk.Words(data, offsets)
             text, at = canonical(data, w)
             k = keys(text)
             ok = _valid(at, len(k))
-            logs = np.where(ok, tree.logs(k), 0.0)
-            score = np.add.reduceat(logs, at[:-1]) / np.log(10) if len(logs) else np.zeros(batch.num_rows)
+            logs, gone = grams(k)
+            gone = gone[ok[gone]]
+            gone.sort()
+            logs[~ok] = 0.0
+            logs[gone] = 0.0
             words = np.insert(w.hashes().view(np.int64), w.first[1:], END)
-            row = np.repeat(np.arange(batch.num_rows), w.count + 1)
-            base, rare = common(words)
+            base, rare = tokens(words)
+            rare.sort()
             base[rare] = 0.0
-            part = np.bincount(row, base, minlength=batch.num_rows)
-            found = w.count + 1 - np.bincount(row[rare], minlength=batch.num_rows)
-            lists = np.concatenate([np.zeros(1, np.int64), np.cumsum(w.count + 1 - found)])
+            row = np.repeat(np.arange(batch.num_rows), w.count + 1)
+            lists = []
+            for keys_, places, starts in ((words, rare, np.append(w.first[:-1] + np.arange(batch.num_rows), len(words))), (k, gone, np.append(at[:-1], len(k)))):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(places, starts), pa.int32()), pa.array(keys_[places])))
+            score = np.add.reduceat(logs, at[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(w.count + 1), pa.array(found), pa.array(part), pa.array(score), pa.array(np.diff(at) - DEPTH),
-                 pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(words[rare]))],
-                ["rk", "doc_id", "n_tokens", "n_common", "base_common", "score", "n_bytes", "rare"],
+                [batch.column(0), batch.column(1), pa.array(w.count + 1), pa.array(np.bincount(row, minlength=batch.num_rows) - np.bincount(row[rare], minlength=batch.num_rows)),
+                 pa.array(np.bincount(row, base, minlength=batch.num_rows)), pa.array(score), pa.array(np.diff(at) - DEPTH), *lists],
+                ["rk", "doc_id", "n_tokens", "n_common", "base_common", "score_common", "n_bytes", "rare", "open"],
             )
 
     return run
 
 
-def _column(df: DataFrame, *names: str) -> list[np.ndarray]:
+def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     got = df.select(*names).toArrow()
-    return [got[n].to_numpy() for n in names]
-
-
-def kept_strings(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per depth, the sorted strings (context and byte) of the kept contexts and their counts: GRAMS at most."""
-    tables, least, level = [], 0, grams
-    levels = []
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            level = level.groupBy(F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        level = cut(level)
-        levels.append(level)
-    for level in reversed(levels):
-        contexts = level.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("x"))
-        contexts = cut(contexts.withColumn("step", F.floor(8 * F.log2("total"))))
-        taken = 0
-        for step, m in sorted(((r[0], r[1]) for r in contexts.groupBy("step").agg(F.sum(F.size("x"))).collect()), reverse=True):
-            taken += m
-            if taken > GRAMS:
-                least = max(least, step + 1)
-                break
-        k, n = _column(contexts.where(F.col("step") >= least).select(F.explode("x").alias("x")).select("x.key", "x.n"), "key", "n")
-        order = np.argsort(k)
-        tables.append((k[order], n[order]))
-        drop_cut(contexts)
-    for level in levels:
-        drop_cut(level)
-    return tables
+    return [got[n].combine_chunks().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, got[n].type.to_pandas_dtype()) for n in names]
+
+
+def _most(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and values of the rows of highest counts, COMMON at most: whole steps of an eighth of a power of two."""
+    step = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5))))
+    least, taken = -9, 0
+    for at, m in sorted(((r[0], r[1]) for r in table.groupBy(step).count().collect()), reverse=True):
+        taken += m
+        if taken > COMMON:
+            least = at + 1
+            break
+    k, value = _arrays(table.where(step >= least), "key", "value")
+    order = np.argsort(k)
+    return k[order], value[order]
 
 
 def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    context = documents.sparkSession.sparkContext
     docs = documents.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
-    counts = cut(docs.where(~held).select("text").mapInArrow(count_rows, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, grams = counts.where(f"kind = {WORD}").select("key", "n"), counts.where(f"kind = {GRAM}")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = kept_strings(grams.select("key", "n"))
-    common = _column(words.where(F.col("n") >= F.lit(total / COMMON)), "key", "n")  # at most COMMON rows
-    model = documents.sparkSession.sparkContext.broadcast((tables, common, total, kinds))
-    scored = cut(docs.select("rk", "doc_id", "text").mapInArrow(score_rows(model), "rk long, doc_id long, n_tokens long, n_common long, base_common double, score double, n_bytes long, rare array<bigint>"))
+    counts = cut(docs.select("text", held.alias("held")).mapInArrow(count_rows, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    words = counts.where(f"kind = {WORD}").select("key", "n")
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    suffix = F.shiftright("key", 8).bitwiseAND((1 << (8 * SUFFIX)) - 1)
+    strings = counts.where(f"kind = {GRAM}").select("key", "n", suffix.alias("suffix")).repartition("suffix").sortWithinPartitions("suffix").select("key", "n")
+    node, mixed = _arrays(strings.mapInArrow(subtree_rows(), "node long, mixed double").groupBy("node").agg(F.sum("mixed").alias("mixed")), "node", "mixed")
+    short = counts.where(f"kind = {GRAM} AND n > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * (TOP + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
+    top = context.broadcast(top_tables(*_arrays(short, "key", "n"), node, mixed))
+    logs = strings.mapInArrow(string_rows(top), "key long, n long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "n", "value")
     floor = total + 0.5 * (kinds + 1)
-    rare = scored.select("rk", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("rk").agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(floor))).alias("base_rare"), F.count("n").alias("n_rare")
+    values = cut(logs.unionByName(words.select(F.lit(WORD).cast("byte").alias("kind"), "key", "n", F.log10((F.col("n") + 0.5) / F.lit(floor)).alias("value"))))
+    common = context.broadcast(tuple(_most(values.where(only)) for only in (f"kind = {GRAM}", f"kind = {WORD} AND n > 0")))
+    schema = "rk long, doc_id long, n_tokens long, n_common long, base_common double, score_common double, n_bytes long, rare array<bigint>, open array<bigint>"
+    scored = cut(docs.select("rk", "doc_id", "text").mapInArrow(score_rows(common), schema))
+    # equal rows have equal lists: one of them is looked up
+    lists = scored.where("size(rare) + size(open) > 0").groupBy("rk").agg(F.any_value("rare").alias("rare"), F.any_value("open").alias("open"))
+    asked = [lists.select("rk", F.lit(kind).cast("byte").alias("kind"), F.explode(name).alias("key")) for kind, name in ((WORD, "rare"), (GRAM, "open"))]
+    is_word = F.col("kind") == WORD
+    rest = asked[0].unionByName(asked[1]).join(values, ["kind", "key"]).groupBy("rk").agg(
+        F.sum(F.when(is_word, F.col("value"))).alias("base_rest"), F.sum(F.when(~is_word, F.col("value"))).alias("score_rest"), F.count_if(is_word & (F.col("n") > 0)).alias("n_rest")
     )
-    copies = scored.groupBy("rk").agg(F.count("*").alias("copies"))
-    rare = rare.join(copies, "rk").select("rk", (F.col("base_rare") / F.col("copies")).alias("base_rare"), (F.col("n_rare") / F.col("copies")).cast("long").alias("n_rare"))
-    out = scored.drop("rare").join(rare, "rk", "left")
+    out = scored.drop("rare", "open").join(rest, "rk", "left")
+    zero = F.lit(0)
+    score = F.col("score_common") + F.coalesce("score_rest", F.lit(0.0))
     return out.select(
-        "doc_id", held.alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_common") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        "doc_id", held.alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rest", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_common") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

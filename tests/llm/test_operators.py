@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -181,25 +182,85 @@ def test_language_model(docs, corpus):
     assert language_model_scores(docs.limit(0)).count() == 0
 
 
+def plain_context_tree(train: list[bytes], depth: int):
+    """log10 probability of a byte string by the definition: a dictionary of nodes, mixed by recursion."""
+    counts: dict = {}
+    bits = lambda c: f"{c:08b}"
+    for text in train:
+        padded = b"\n" * depth + text
+        for i in range(depth, len(padded)):
+            for j, bit in enumerate(bits(padded[i])):
+                for d in range(depth + 1):
+                    counts.setdefault((padded[i - d : i], bits(padded[i])[:j]), [0, 0])[int(bit)] += 1
+    below: dict = {}
+    mixed: dict = {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        z, o = counts[node]
+        own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+        mixed[node] = own if len(node[0]) == depth else float(np.logaddexp(own, below[node]) - math.log(2))
+        if node[0]:
+            up = (node[0][1:], node[1])
+            below[up] = below.get(up, 0.0) + mixed[node]
+        counts[node].append(1.0 if len(node[0]) == depth else 1 / (1 + math.exp(min(700, max(-700, below[node] - own)))))
+
+    def one(context: bytes, prefix: str) -> float:
+        value, done, left = 0.5, 0.0, 1.0
+        for d in range(depth + 1):
+            node = counts.get((context[depth - d :], prefix))
+            if node is None:
+                break
+            p = (node[1] + 0.5) / (node[0] + node[1] + 1)
+            value, done, left = done + left * p, done + left * node[2] * p, left * (1 - node[2])
+        return value
+
+    def score(text: bytes) -> float:
+        padded, total = b"\n" * depth + text, 0.0
+        for i in range(depth, len(padded)):
+            for j, bit in enumerate(bits(padded[i])):
+                p = one(padded[i - depth : i], bits(padded[i])[:j])
+                total += math.log10(p if bit == "1" else 1 - p)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("common", [2**20, 64])
+def test_scores_equal_a_plain_context_tree(spark, monkeypatch, common):
+    from tests.llm.conftest import prose
+
+    from pathloom.llm import lm_scoring as lm
+
+    monkeypatch.setattr(lm, "COMMON", common)  # 64: nearly all strings and tokens are joined
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(3, 25))) for i in range(60)] + [(61, None), (62, "Zed"), (63, "ünseen wörds 日本"), (64, " "), (64, " "), (None, "no id")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    assert {held(i) for i, _ in rows} == {True, False}
+    plain = lambda t: (" ".join(spaced(t)) + "\n").encode()
+    score = plain_context_tree([plain(t) for i, t in rows if not held(i)], lm.DEPTH)
+    got = lm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(score(plain(t)), 6)) for i, t in rows)
+    assert all(abs(r.bits_per_byte - -r.score * math.log2(10) / len(plain(dict(rows)[r.doc_id]))) < 1e-9 for r in got)
+
+
 def test_byte_probabilities_sum_to_one():
     from pathloom.llm import lm_scoring as lm
-    from pathloom.llm import textkit as tk
 
     rng = np.random.default_rng(0)
     text = rng.choice(np.frombuffer(b"abcde \n", np.uint8), 3000, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])
     k, n = lm._counted(lm.keys(text))
-    tables = []
-    for d in range(lm.DEPTH + 1):
-        kk, nn = lm._counted(k & ((1 << (8 * (d + 1))) - 1), n)
-        keep = np.isin(kk >> 8, (kk >> 8)[:: 1 + d])  # some contexts are left out, others whole
-        tables.append((kk[keep], nn[keep]))
-    tree = lm.Tree(tables)
-    for key in k[::300]:
-        every = (int(key) >> 8 << 8) | np.arange(256, dtype=np.int64)
-        assert abs(np.exp(tree.logs(every)).sum() - 1) < 1e-6
+    every = np.unique(np.concatenate([int(x) >> 8 << 8 | np.arange(256, dtype=np.int64) for x in k[::100]]))
+    k, n = lm._counted(np.append(k, every), np.append(n, np.zeros(len(every), np.int64)))
+    suffix = np.argsort((k >> 8) & 0xFFFFFF, kind="stable")
+    k, n = k[suffix], n[suffix]
+    first = [x for batch in lm.subtree_rows()(iter([pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])])) for x in zip(*batch.to_pydict().values(), strict=True)]
+    node, mixed = np.array([x[0] for x in first]), np.array([x[1] for x in first])
+    short = lm._counted(k & 0xFFFFFF, n)
+    logs = lm.string_logs(k, n, lm.top_tables(*(x[short[1] > 0] for x in short), node, mixed))
+    own = np.isin(k, every)
+    context, at = np.unique(k[own] >> 8, return_inverse=True)
+    assert len(context) and np.allclose(np.bincount(at, np.exp(logs[own])), 1, atol=1e-9)
     x = np.array([0.5, 1.0, 7.5, 100.0])
     assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-9)
-    assert tk.mix(np.arange(3, dtype=np.uint64)).dtype == np.uint64
 
 
 def test_contamination(spark, docs, corpus):
