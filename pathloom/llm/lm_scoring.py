@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import textkit as tk
 from pathloom.session import cut
 
-DEPTH = 5
+DEPTH = 6
 TOP, SUFFIX = 2, 3
 COMMON = 2**20
 #: Strings of whole suffixes that a task works on at a time, more only if one suffix has more.
