@@ -14,8 +14,8 @@ any input size and is made on the driver; with it the tasks go down again and gi
 bit's estimate is that of the deepest context that training has seen, so the probabilities of all bytes after a context
 sum to one. ``score`` is the log10 probability, ``bits_per_byte`` the code length.
 
-A text is scored by adding up its strings. The strings and tokens of highest counts, ``COMMON`` rows of either at most,
-are looked up in a broadcast table; all others are joined.
+A text is scored by adding up its strings. The strings and tokens of highest counts, ``COMMON`` rows at most, are
+looked up in broadcast tables; all others are joined.
 
 Defined results: null and empty texts are the end token; rows are told apart by doc_id and text, repeated rows get
 equal scores; a row without doc_id is learned from; without training rows every bit costs one bit and the base is
@@ -36,14 +36,15 @@ from pathloom.session import cut
 
 DEPTH = 6
 TOP, SUFFIX = 2, 3
-COMMON = 2**20
 #: Strings of whole suffixes that a task works on at a time, more only if one suffix has more.
 RUN = 200_000
 GRAM, WORD = 0, 1
+#: Rows at most of the broadcast tables.
+COMMON = {GRAM: 2**20, WORD: 2**19}
 #: The end token's key among word hashes.
 END = 1
 #: Distinct strings that a task holds before it merges its counts.
-HELD = 1_200_000
+HELD = 2_000_000
 #: Bytes of text that a worker works on at a time.
 CHUNK = 1_000_000
 
@@ -309,14 +310,11 @@ class Lookup:
         return out, missing
 
 
-_tables: list = []
-
-
 def score_rows(common):
+    """(rk, doc_id, text) to what the broadcast tables know of the text, and the keys of what they don't."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _tables or _tables[0] is not common.value:  # once a worker
-            _tables[:] = common.value, *(Lookup(*x) for x in common.value)
-        _, grams, tokens = _tables
+        grams, tokens = common.value
         for batch in tk.chunks(batches, limit=CHUNK):
             data, offsets = tk.text_bytes(batch.column(2))
             w = tk.Words(data, offsets)
@@ -351,18 +349,16 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [got[n].combine_chunks().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, got[n].type.to_pandas_dtype()) for n in names]
 
 
-def _most(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, in order, and values of the rows of highest counts, COMMON at most: whole steps of an eighth of a power of two."""
+def _most(table: DataFrame, most: int) -> Lookup:
+    """The values of the rows of highest counts, most at most: whole steps of an eighth of a power of two."""
     step = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5))))
     least, taken = -9, 0
     for at, m in sorted(((r[0], r[1]) for r in table.groupBy(step).count().collect()), reverse=True):
         taken += m
-        if taken > COMMON:
+        if taken > most:
             least = at + 1
             break
-    k, value = _arrays(table.where(step >= least), "key", "value")
-    order = np.argsort(k)
-    return k[order], value[order]
+    return Lookup(*_arrays(table.where(step >= least), "key", "value"))
 
 
 def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -370,7 +366,9 @@ def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int =
     context = documents.sparkSession.sparkContext
     docs = documents.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
-    counts = cut(docs.select("text", held.alias("held")).mapInArrow(count_rows, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    # the kernel has added up what a task can hold, so rows are dealt first and hashed once
+    found = docs.select("text", held.alias("held")).mapInArrow(count_rows, "kind byte, key long, n long").repartition("kind", "key")
+    counts = cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where(f"kind = {WORD}").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     suffix = F.shiftright("key", 8).bitwiseAND((1 << (8 * SUFFIX)) - 1)
@@ -381,7 +379,7 @@ def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int =
     logs = strings.mapInArrow(string_rows(top), "key long, n long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "n", "value")
     floor = total + 0.5 * (kinds + 1)
     values = cut(logs.unionByName(words.select(F.lit(WORD).cast("byte").alias("kind"), "key", "n", F.log10((F.col("n") + 0.5) / F.lit(floor)).alias("value"))))
-    common = context.broadcast(tuple(_most(values.where(only)) for only in (f"kind = {GRAM}", f"kind = {WORD} AND n > 0")))
+    common = context.broadcast((_most(values.where(f"kind = {GRAM}"), COMMON[GRAM]), _most(values.where(f"kind = {WORD} AND n > 0"), COMMON[WORD])))
     schema = "rk long, doc_id long, n_tokens long, n_common long, base_common double, score_common double, n_bytes long, rare array<bigint>, open array<bigint>"
     scored = cut(docs.select("rk", "doc_id", "text").mapInArrow(score_rows(common), schema))
     # equal rows have equal lists: one of them is looked up
