@@ -40,11 +40,11 @@ TOP, SUFFIX = 2, 3
 RUN = 200_000
 GRAM, WORD = 0, 1
 #: Rows at most of the broadcast tables.
-COMMON = {GRAM: 2**20, WORD: 2**19}
+COMMON = {GRAM: 2**21, WORD: 2**19}
 #: The end token's key among word hashes.
 END = 1
 #: Distinct strings that a task holds before it merges its counts.
-HELD = 2_000_000
+HELD = 4_000_000
 #: Bytes of text that a worker works on at a time.
 CHUNK = 1_000_000
 
