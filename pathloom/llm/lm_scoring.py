@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import textkit as tk
-from pathloom.session import cut
+from pathloom.session import cut, drop_cut
 
 DEPTH = 6
 TOP, SUFFIX = 2, 3
@@ -349,16 +349,19 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [got[n].combine_chunks().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, got[n].type.to_pandas_dtype()) for n in names]
 
 
-def _most(table: DataFrame, most: int) -> Lookup:
-    """The values of the rows of highest counts, most at most: whole steps of an eighth of a power of two."""
-    step = F.floor(8 * F.log2(F.greatest("n", F.lit(0.5))))
-    least, taken = -9, 0
-    for at, m in sorted(((r[0], r[1]) for r in table.groupBy(step).count().collect()), reverse=True):
+def _step() -> F.Column:
+    """Counts in whole steps of an eighth of a power of two."""
+    return F.floor(8 * F.log2(F.greatest("n", F.lit(0.5))))
+
+
+def _least(table: DataFrame, most: int) -> int:
+    """The step from which on no more than most rows remain."""
+    taken = 0
+    for step, m in sorted(((r[0], r[1]) for r in table.groupBy(_step()).count().collect()), reverse=True):
         taken += m
         if taken > most:
-            least = at + 1
-            break
-    return Lookup(*_arrays(table.where(step >= least), "key", "value"))
+            return step + 1
+    return -9
 
 
 def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -379,17 +382,22 @@ def language_model_scores(documents: DataFrame, folds: int = 5, held_fold: int =
     logs = strings.mapInArrow(string_rows(top), "key long, n long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "n", "value")
     floor = total + 0.5 * (kinds + 1)
     values = cut(logs.unionByName(words.select(F.lit(WORD).cast("byte").alias("kind"), "key", "n", F.log10((F.col("n") + 0.5) / F.lit(floor)).alias("value"))))
-    common = context.broadcast((_most(values.where(f"kind = {GRAM}"), COMMON[GRAM]), _most(values.where(f"kind = {WORD} AND n > 0"), COMMON[WORD])))
+    drop_cut(counts)
+    often = {GRAM: F.col("kind") == GRAM, WORD: (F.col("kind") == WORD) & (F.col("n") > 0)}
+    often = {kind: own & (_step() >= _least(values.where(own), COMMON[kind])) for kind, own in often.items()}
+    common = context.broadcast(tuple(Lookup(*_arrays(values.where(often[kind]), "key", "value")) for kind in (GRAM, WORD)))
     schema = "rk long, doc_id long, n_tokens long, n_common long, base_common double, score_common double, n_bytes long, rare array<bigint>, open array<bigint>"
     scored = cut(docs.select("rk", "doc_id", "text").mapInArrow(score_rows(common), schema))
-    # equal rows have equal lists: one of them is looked up
-    lists = scored.where("size(rare) + size(open) > 0").groupBy("rk").agg(F.any_value("rare").alias("rare"), F.any_value("open").alias("open"))
-    asked = [lists.select("rk", F.lit(kind).cast("byte").alias("kind"), F.explode(name).alias("key")) for kind, name in ((WORD, "rare"), (GRAM, "open"))]
+    asked = [scored.select("rk", F.lit(kind).cast("byte").alias("kind"), F.explode(name).alias("key")) for kind, name in ((WORD, "rare"), (GRAM, "open"))]
+    rest = values.where(~(often[GRAM] | often[WORD]))
+    copies = scored.groupBy("rk").agg(F.count("*").alias("copies"))
     is_word = F.col("kind") == WORD
-    rest = asked[0].unionByName(asked[1]).join(values, ["kind", "key"]).groupBy("rk").agg(
+    found = asked[0].unionByName(asked[1]).join(rest, ["kind", "key"]).groupBy("rk").agg(
         F.sum(F.when(is_word, F.col("value"))).alias("base_rest"), F.sum(F.when(~is_word, F.col("value"))).alias("score_rest"), F.count_if(is_word & (F.col("n") > 0)).alias("n_rest")
     )
-    out = scored.drop("rare", "open").join(rest, "rk", "left")
+    # equal rows have asked for the same keys as often as they stand there
+    found = found.join(copies, "rk").select("rk", *((F.col(c) / F.col("copies")).alias(c) for c in ("base_rest", "score_rest")), (F.col("n_rest") / F.col("copies")).cast("long").alias("n_rest"))
+    out = scored.drop("rare", "open").join(found, "rk", "left")
     zero = F.lit(0)
     score = F.col("score_common") + F.coalesce("score_rest", F.lit(0.0))
     return out.select(
