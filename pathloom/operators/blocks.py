@@ -8,8 +8,8 @@ import numpy as np
 
 
 def autocovariances(x: np.ndarray, segments: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lag 0..most: covariances over all n, correlations over the available pairs; pairs inside one segment only."""
-    x = (x - x.mean()) / x.std(ddof=1)
+    """Lag 0..most: covariances over all n (lag 0 is 1), correlations over the available pairs; pairs inside one segment only."""
+    x = (x - x.mean()) / x.std()
     gamma, rho = np.zeros(most + 1), np.zeros(most + 1)
     for k in range(most + 1):
         a, b = x[k:], x[: len(x) - k]
@@ -28,13 +28,13 @@ def automatic_length(x: np.ndarray, segments: np.ndarray) -> float:
     longest = np.bincount(segments - segments.min()).max()
     most = min(longest - 1, math.ceil(math.sqrt(n)) + quiet)
     gamma, rho = autocovariances(x, segments, most)
-    loud = np.abs(rho) > 2 * math.sqrt(math.log10(n) / n)
-    loud[0] = True
-    m = next((k - 1 for k in range(1, most - quiet + 2) if not loud[k : k + quiet].any()), None)
-    if m is None:
-        m = int(np.flatnonzero(loud).max())
-    if m == 0:
+    loud = np.flatnonzero(np.abs(rho[1:]) >= 2 * math.sqrt(math.log10(n) / n)) + 1
+    if not len(loud):
         return 1.0
+    # the first lag of the first run of quiet lags, else the last loud lag
+    ends = np.concatenate([[0], loud, [most + 1]])
+    before = np.flatnonzero(np.diff(ends) > quiet)
+    m = int(ends[before[0]]) + 1 if len(before) else int(loud[-1])
     width = min(2 * m, most)
     k = np.arange(1, width + 1)
     w = np.where(k / width <= 0.5, 1.0, 2 * (1 - k / width))

@@ -85,6 +85,21 @@ def cross_lag(wide: DataFrame, a: str, b: str) -> DataFrame:
     return x.groupBy("path_id").agg(correlation(a, "y").alias("cross_lag"))
 
 
+def cross_lag_block(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """Per path, the correlations of every column at t with every column at t + 1."""
+    o = Window.partitionBy("path_id").orderBy("period_index")
+    y = wide.select("path_id", *columns, *[F.lead(c).over(o).alias(f"__{c}") for c in columns])
+    each = [F.struct(F.lit(a).alias("early"), F.lit(b).alias("late"), F.col(a).alias("x"), F.col(f"__{b}").alias("y")) for a in columns for b in columns]
+    pairs = y.where(F.col(f"__{columns[0]}").isNotNull()).select("path_id", F.explode(F.array(*each)).alias("e")).select("path_id", "e.*")
+    return pairs.groupBy("path_id", "early", "late").agg(F.corr("x", "y").alias("c"))
+
+
+def cross_lag_gap(blocks: DataFrame, reference: DataFrame) -> DataFrame:
+    """Largest gap of each path's block to the reference path's."""
+    known = reference.select("early", "late", F.col("c").alias("r"))
+    return blocks.join(known, ["early", "late"]).groupBy("path_id").agg(F.max(F.abs(F.col("c") - F.col("r"))).alias("gap"))
+
+
 def drawdowns(paths: DataFrame) -> DataFrame:
     """Depth 1 - exp(lowest log wealth under its peak, peak from 0) and the longest run of rows under the peak."""
     o = Window.partitionBy("path_id", "role").orderBy("period_index")

@@ -49,8 +49,11 @@ def canonical_labels(states: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def support(states: DataFrame, length: int) -> DataFrame:
-    """Episodes and starts whose next length rows stay in the state."""
-    return episodes(states).groupBy("state").agg(F.count("*").alias("episodes"), F.sum(F.greatest(F.col("length") - length + 1, F.lit(0))).alias("eligible_starts"))
+    """Completed episodes, with a change of state on either side, and starts whose next length rows stay in the state."""
+    e = episodes(states)
+    ends = Window.partitionBy("path_id")
+    e = e.withColumn("inside", (F.col("first") > F.min("first").over(ends)) & (F.col("last") < F.max("last").over(ends)))
+    return e.groupBy("state").agg(F.count_if("inside").alias("episodes"), F.sum(F.greatest(F.col("length") - length + 1, F.lit(0))).alias("eligible_starts"))
 
 
 def realized_blocks(states: DataFrame, boundary: str) -> DataFrame:

@@ -13,11 +13,15 @@ def _prior(width: int):
 
 
 def trailing_features(wide: DataFrame) -> DataFrame:
-    """1-, 6- and 12-period sums and the 6-period spread, strictly prior rows, full frames only."""
+    """1- and 6-period sums, the log level's distance from its 12-period mean and the 6-period spread: strictly prior rows,
+    full frames only."""
     out = wide
+    level = Window.partitionBy("path_id").orderBy("period_index")
     for r in ROLES:
-        for k in (1, 6, 12):
+        for k in (1, 6):
             out = out.withColumn(f"{r}_{k}", F.sum(r).over(_prior(k)))
+        out = out.withColumn(f"__{r}", F.sum(r).over(level.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn(f"{r}_trend", F.lag(f"__{r}").over(level) - F.avg(f"__{r}").over(_prior(12))).drop(f"__{r}")
     out = out.withColumn("spread_6", F.sum(F.col("taxable_bond") - F.col("muni_bond")).over(_prior(6)))
     return out.withColumn("k", F.count("*").over(_prior(12))).where("k = 12").drop("k")
 
@@ -31,27 +35,38 @@ def winner_weights(features: DataFrame, suffix: str) -> DataFrame:
 
 
 def inverse_volatility_weights(wide: DataFrame, lookback: int = 12, hold: int = 3) -> DataFrame:
-    """Weights 1 / trailing volatility, decided on every hold-th row and held."""
+    """Weights 1 / trailing volatility of simple returns, decided on every hold-th row and held; wide holds log returns."""
     out = wide.withColumn("k", F.count("*").over(_prior(lookback))).withColumn("bucket", F.floor((F.col("period_index") - 1) / hold))
     inv = {r: F.col(f"i_{r}") for r in ROLES}
     for r in ROLES:
-        out = out.withColumn(f"i_{r}", F.when(F.col("k") == lookback, 1 / F.stddev_samp(r).over(_prior(lookback))))
+        out = out.withColumn(f"i_{r}", F.when(F.col("k") == lookback, 1 / F.stddev_samp(F.expm1(r)).over(_prior(lookback))))
     total = sum(inv.values(), F.lit(0.0))
     w = Window.partitionBy("path_id", "bucket").orderBy("period_index")
     held = [F.first(inv[r] / total).over(w).alias(f"w_{r}") for r in ROLES]
     return out.select("path_id", "period_index", *ROLES, *held).na.drop("any", subset=[f"w_{r}" for r in ROLES])
 
 
+def timer_improvements(weights: DataFrame, periods: int = 12) -> DataFrame:
+    """Per path: Sharpe ratio of the timer's simple returns, that of the mean weights held throughout, and their difference."""
+    mean = weights.agg(*[F.avg(f"w_{r}").alias(f"c_{r}") for r in ROLES])
+    total = sum((F.col(f"c_{r}") for r in ROLES), F.lit(0.0))
+    simple = lambda w: sum((F.expm1(r) * w(r) for r in ROLES), F.lit(0.0))
+    x = weights.crossJoin(F.broadcast(mean)).select("path_id", simple(lambda r: F.col(f"w_{r}")).alias("timer"), (simple(lambda r: F.col(f"c_{r}")) / total).alias("static"))
+    ratio = lambda c: F.avg(c) / F.stddev_samp(c) * F.sqrt(F.lit(float(periods)))
+    both = x.groupBy("path_id").agg(ratio("timer").alias("timer"), ratio("static").alias("static"))
+    return both.withColumn("improvement", F.col("timer") - F.col("static"))
+
+
 def sharpe(returns: DataFrame, column: str, periods: int = 12) -> DataFrame:
     return returns.groupBy("path_id").agg((F.avg(column) / F.stddev_samp(column) * F.sqrt(F.lit(float(periods)))).alias("sharpe"))
 
 
 def directional_sharpes(wide: DataFrame, periods: int = 12) -> DataFrame:
-    """For each predictor and outcome: Sharpe of the outcome times the predictor's last sign."""
+    """For each predictor and outcome: Sharpe of the outcome times the predictor's last sign, zero counting as up."""
     o = Window.partitionBy("path_id").orderBy("period_index")
     out = wide
     for a in ROLES:
-        out = out.withColumn(f"s_{a}", F.lag(F.signum(a)).over(o))
+        out = out.withColumn(f"s_{a}", F.lag(F.when(F.col(a) >= 0, 1.0).otherwise(-1.0)).over(o))
     each = [F.struct(F.lit(a).alias("predictor"), F.lit(b).alias("outcome"), (F.col(f"s_{a}") * F.col(b)).alias("x")) for a in ROLES for b in ROLES]
     long = out.select("path_id", F.explode(F.array(*each)).alias("e")).select("path_id", "e.*").where("x IS NOT NULL")
     return long.groupBy("path_id", "predictor", "outcome").agg((F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(float(periods)))).alias("sharpe"))

@@ -59,10 +59,12 @@ def _(s, d):
     return m.select("session", F.coalesce(F.col("session_no") - F.lag("session_no").over(Window.orderBy("session")) == 1, F.lit(False)).alias("continues"))
 
 
-@q("p19_forward_links", STATE + "SELECT path_id, period_index, lead(state) OVER (PARTITION BY path_id ORDER BY period_index) = state AS linked FROM state_path QUALIFY lead(state) OVER (PARTITION BY path_id ORDER BY period_index) IS NOT NULL")
+@q("p19_forward_links", WIDE + ", m AS (SELECT path_id, period_index, CAST(left(month, 4) AS INT) * 12 + CAST(right(month, 2) AS INT) AS t FROM ret_path), c AS (SELECT path_id, period_index, coalesce(t - lag(t) OVER o = 1, false) AS continues FROM m WINDOW o AS (PARTITION BY path_id ORDER BY period_index)) SELECT path_id, period_index, lead(continues) OVER (PARTITION BY path_id ORDER BY period_index) AS linked FROM c QUALIFY linked IS NOT NULL")
 def _(s, d):
-    nxt = F.lead("state").over(Window.partitionBy("path_id").orderBy("period_index"))
-    return st.state_path(s, d).withColumn("nxt", nxt).where("nxt IS NOT NULL").select("path_id", "period_index", (F.col("nxt") == F.col("state")).alias("linked"))
+    o = Window.partitionBy("path_id").orderBy("period_index")
+    t = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
+    mask = st.ret_path(s, d).withColumn("t", t).withColumn("continues", F.coalesce(F.col("t") - F.lag("t").over(o) == 1, F.lit(False)))
+    return mask.select("path_id", "period_index", F.lead("continues").over(o).alias("linked")).where("linked IS NOT NULL")
 
 
 @q("w17_prefix_sums", LONG + "SELECT path_id, role, period_index, round(sum(r) OVER (PARTITION BY path_id, role ORDER BY period_index), 6) AS total FROM long_path")
@@ -99,14 +101,14 @@ def _(s, d):
     return c.groupBy("path_id").agg(F.count("*").alias("pairs"), R(F.sum(F.col("c") * F.col("b")) / F.sqrt(F.sum(F.col("c") ** 2) * F.sum(F.col("b") ** 2))).alias("acf"))
 
 
-@q("w16_autocovariances", LONG + ", c AS (SELECT path_id, role, period_index, (r - avg(r) OVER w) / stddev_samp(r) OVER w AS z, count(*) OVER w AS n FROM long_path WINDOW w AS (PARTITION BY path_id, role)) SELECT a.path_id, a.role, k AS lag, round(sum(a.z * b.z) / any_value(a.n), 6) AS gamma FROM c a, range(1, 7) t(k), c b WHERE a.path_id = b.path_id AND a.role = b.role AND b.period_index = a.period_index - k GROUP BY ALL")
+@q("w16_autocovariances", LONG + ", c AS (SELECT path_id, role, period_index, (r - avg(r) OVER w) / stddev_pop(r) OVER w AS z, count(*) OVER w AS n FROM long_path WINDOW w AS (PARTITION BY path_id, role)) SELECT a.path_id, a.role, k AS lag, round(sum(a.z * b.z) / any_value(a.n), 6) AS gamma FROM c a, range(0, 7) t(k), c b WHERE a.path_id = b.path_id AND a.role = b.role AND b.period_index = a.period_index - k GROUP BY ALL")
 def _(s, d):
     w = Window.partitionBy("path_id", "role")
     o = w.orderBy("period_index")
-    c = st.long_path(s, d).withColumn("z", (F.col("r") - F.avg("r").over(w)) / F.stddev_samp("r").over(w)).withColumn("n", F.count("*").over(w))
-    for k in range(1, 7):
+    c = st.long_path(s, d).withColumn("z", (F.col("r") - F.avg("r").over(w)) / F.stddev_pop("r").over(w)).withColumn("n", F.count("*").over(w))
+    for k in range(7):
         c = c.withColumn(f"b{k}", F.lag("z", k).over(o))
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"b{k}").alias("b")) for k in range(1, 7)]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"b{k}").alias("b")) for k in range(7)]))
     x = c.select("path_id", "role", "z", "n", each.alias("e"))
     return x.groupBy("path_id", "role", "e.lag").agg(R(F.sum(F.col("z") * F.col("e.b")) / F.max("n")).alias("gamma"))
 
@@ -149,9 +151,13 @@ def _(s, d):
     return a.join(b, "state").agg(R(F.max(F.abs(F.col("a") - F.col("b")))).alias("gap"))
 
 
-@q("d10_cross_lag_gap", WIDE + ", y AS (SELECT path_id, equity AS x, lead(equity) OVER (PARTITION BY path_id ORDER BY period_index) AS y FROM ret_path), c AS (SELECT path_id, covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) AS c FROM y WHERE y IS NOT NULL GROUP BY 1) SELECT round(max(c) - min(c), 6) AS gap FROM c")
+_cross = " UNION ALL ".join(f"SELECT path_id, '{a}' AS early, '{b}' AS late, corr({a}, n_{b}) AS c FROM y GROUP BY 1" for a in ROLES for b in ROLES)
+
+
+@q("d10_cross_lag_gap", WIDE + ", y AS (SELECT *, " + ", ".join(f"lead({r}) OVER (PARTITION BY path_id ORDER BY period_index) AS n_{r}" for r in ROLES) + f" FROM ret_path QUALIFY n_equity IS NOT NULL), c AS ({_cross}) SELECT a.path_id, round(max(abs(a.c - b.c)), 6) AS gap FROM c a JOIN c b ON b.path_id = 0 AND a.path_id <> 0 AND a.early = b.early AND a.late = b.late GROUP BY 1")
 def _(s, d):
-    return me.cross_lag(st.ret_path(s, d), "equity", "equity").agg(R(F.max("cross_lag") - F.min("cross_lag")).alias("gap"))
+    blocks = me.cross_lag_block(st.ret_path(s, d), ROLES)
+    return me.cross_lag_gap(blocks.where("path_id <> 0"), blocks.where("path_id = 0")).select("path_id", R("gap").alias("gap"))
 
 
 @q("m6_state_names", STATE + ", m AS (SELECT state, avg(equity) AS a FROM state_path GROUP BY 1) SELECT state, CASE WHEN a < -0.02 THEN 'falling' WHEN a < 0.02 THEN 'flat' ELSE 'rising' END AS name FROM m")

@@ -81,8 +81,11 @@ def _(s, d):
     return w.groupBy("state").agg(F.sum("c").alias("n"), R(F.sum("r") / F.sum("c")).alias("ratio_mean"), R(F.sum(F.col("r") * F.col("r"))).alias("rr"), R(F.sum(F.col("c") * F.col("r"))).alias("cr"), F.sum(F.col("c") * F.col("c")).alias("cc"))
 
 
-FEAT = WIDE + ", f AS (SELECT *, " + ", ".join(f"sum({r}) OVER (PARTITION BY path_id ORDER BY period_index ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {r}_{k}" for r in ROLES for k in (1, 6, 12)) + ", sum(taxable_bond - muni_bond) OVER (PARTITION BY path_id ORDER BY period_index ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS spread_6, count(*) OVER (PARTITION BY path_id ORDER BY period_index ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS k FROM ret_path)"
-_fc = [f"{r}_{k}" for r in ROLES for k in (1, 6, 12)] + ["spread_6"]
+_over = "OVER (PARTITION BY path_id ORDER BY period_index"
+_sums = ", ".join(f"sum({r}) {_over} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {r}_{k}" for r in ROLES for k in (1, 6))
+_trends = ", ".join(f"lag(l_{r}) {_over}) - avg(l_{r}) {_over} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS {r}_trend" for r in ROLES)
+FEAT = WIDE + ", l AS (SELECT *, " + ", ".join(f"sum({r}) {_over}) AS l_{r}" for r in ROLES) + f" FROM ret_path), f AS (SELECT *, {_sums}, {_trends}, sum(taxable_bond - muni_bond) {_over} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS spread_6, count(*) {_over} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS k FROM l)"
+_fc = [f"{r}_{k}" for r in ROLES for k in (1, 6, "trend")] + ["spread_6"]
 
 
 @q("w18_strategy_features", FEAT + " SELECT path_id, period_index, " + ", ".join(f"round({c}, 6) AS {c}" for c in _fc) + " FROM f WHERE k = 12")
@@ -95,7 +98,7 @@ def _(s, d):
     return sg.winner_weights(sg.trailing_features(st.ret_path(s, d)), "_6")
 
 
-IVOL = WIDE + ", v AS (SELECT *, (period_index - 1) // 3 AS bucket, count(*) OVER p AS k, " + ", ".join(f"1 / stddev_samp({r}) OVER p AS i_{r}" for r in ROLES) + " FROM ret_path WINDOW p AS (PARTITION BY path_id ORDER BY period_index ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), x AS (SELECT path_id, period_index, equity, muni_bond, taxable_bond, " + ", ".join(f"first_value(CASE WHEN k = 12 THEN i_{r} / (i_equity + i_muni_bond + i_taxable_bond) END) OVER (PARTITION BY path_id, bucket ORDER BY period_index) AS w_{r}" for r in ROLES) + " FROM v), iv AS (SELECT * FROM x WHERE w_equity IS NOT NULL)"
+IVOL = WIDE + ", v AS (SELECT *, (period_index - 1) // 3 AS bucket, count(*) OVER p AS k, " + ", ".join(f"1 / stddev_samp(exp({r}) - 1) OVER p AS i_{r}" for r in ROLES) + " FROM ret_path WINDOW p AS (PARTITION BY path_id ORDER BY period_index ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), x AS (SELECT path_id, period_index, equity, muni_bond, taxable_bond, " + ", ".join(f"first_value(CASE WHEN k = 12 THEN i_{r} / (i_equity + i_muni_bond + i_taxable_bond) END) OVER (PARTITION BY path_id, bucket ORDER BY period_index) AS w_{r}" for r in ROLES) + " FROM v), iv AS (SELECT * FROM x WHERE w_equity IS NOT NULL)"
 
 
 @q("w19_inverse_volatility_weights", IVOL + " SELECT path_id, period_index, " + ", ".join(f"round(w_{r}, 6) AS w_{r}" for r in ROLES) + " FROM iv")
@@ -103,13 +106,16 @@ def _(s, d):
     return rounded(sg.inverse_volatility_weights(st.ret_path(s, d)).drop(*ROLES), "path_id", "period_index")
 
 
-@q("r6_timer_sharpe", IVOL + ", t AS (SELECT path_id, w_equity * equity + w_muni_bond * muni_bond + w_taxable_bond * taxable_bond AS x FROM iv) SELECT path_id, round(avg(x) / stddev_samp(x) * sqrt(12), 5) AS sharpe FROM t GROUP BY 1")
+_simple = lambda w: " + ".join(f"(exp({r}) - 1) * {w}_{r}" for r in ROLES)
+
+
+@q("r6_timer_sharpe", IVOL + ", c AS (SELECT " + ", ".join(f"avg(w_{r}) / (avg(w_equity) + avg(w_muni_bond) + avg(w_taxable_bond)) AS c_{r}" for r in ROLES) + f" FROM iv), t AS (SELECT path_id, {_simple('w')} AS x, {_simple('c')} AS y FROM iv, c), u AS (SELECT path_id, avg(x) / stddev_samp(x) * sqrt(12) AS timer, avg(y) / stddev_samp(y) * sqrt(12) AS static FROM t GROUP BY 1) SELECT path_id, round(timer, 5) AS timer, round(static, 5) AS static, round(timer - static, 5) AS improvement FROM u")
 def _(s, d):
-    w = sg.inverse_volatility_weights(st.ret_path(s, d)).withColumn("x", sum((F.col(r) * F.col(f"w_{r}") for r in ROLES), F.lit(0.0)))
-    return sg.sharpe(w, "x").select("path_id", R("sharpe", 5).alias("sharpe"))
+    x = sg.timer_improvements(sg.inverse_volatility_weights(st.ret_path(s, d)))
+    return x.select("path_id", *[R(c, 5).alias(c) for c in ("timer", "static", "improvement")])
 
 
-@q("r11_directional_alpha", WIDE + ", " + "g AS (SELECT *, " + ", ".join(f"lag(sign({r})) OVER (PARTITION BY path_id ORDER BY period_index) AS s_{r}" for r in ROLES) + " FROM ret_path), u AS (" + " UNION ALL ".join(f"SELECT path_id, '{a}' AS predictor, '{b}' AS outcome, s_{a} * {b} AS x FROM g" for a in ROLES for b in ROLES) + ") SELECT path_id, predictor, outcome, round(avg(x) / stddev_samp(x) * sqrt(12), 5) AS sharpe FROM u WHERE x IS NOT NULL GROUP BY ALL")
+@q("r11_directional_alpha", WIDE + ", " + "g AS (SELECT *, " + ", ".join(f"lag(CASE WHEN {r} >= 0 THEN 1.0 ELSE -1.0 END) OVER (PARTITION BY path_id ORDER BY period_index) AS s_{r}" for r in ROLES) + " FROM ret_path), u AS (" + " UNION ALL ".join(f"SELECT path_id, '{a}' AS predictor, '{b}' AS outcome, s_{a} * {b} AS x FROM g" for a in ROLES for b in ROLES) + ") SELECT path_id, predictor, outcome, round(avg(x) / stddev_samp(x) * sqrt(12), 5) AS sharpe FROM u WHERE x IS NOT NULL GROUP BY ALL")
 def _(s, d):
     return sg.directional_sharpes(st.ret_path(s, d)).select("path_id", "predictor", "outcome", R("sharpe", 5).alias("sharpe"))
 
@@ -124,7 +130,7 @@ def _(s, d):
 @q("r1_ridge_fit")
 def _(s, d):
     f = sg.trailing_features(st.ret_path(s, d))
-    cols = ["equity_1", "equity_6", "equity_12", "spread_6"]
+    cols = ["equity_1", "equity_6", "equity_trend", "spread_6"]
     b = sg.ridge(f, cols, "equity")
     return s.createDataFrame([(n, float(v)) for n, v in zip(["intercept", *cols], b, strict=True)], "term string, coefficient double")
 
@@ -140,16 +146,18 @@ def _(s, d):
 
 
 DIRECTIONS = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.6, 0.8, 0.0], [0.6, 0.0, -0.8], [0.0, 0.6, 0.8]]
-_proj = " UNION ALL ".join(f"SELECT path_id, {i} AS direction, {d[0]} * equity + {d[1]} * muni_bond + {d[2]} * taxable_bond AS x FROM ret_path" for i, d in enumerate(DIRECTIONS))
+# both samples on the reference's (path 1's) centre and scale, as many evenly spaced rows of each
+JOINT = WIDE + ", n AS (SELECT count(*) FILTER (path_id = 0) AS na, count(*) FILTER (path_id = 1) AS nb FROM ret_path), st AS (SELECT " + ", ".join(f"avg({r}) AS m_{r}, stddev_samp({r}) AS s_{r}" for r in ROLES) + " FROM ret_path WHERE path_id = 1), z AS (SELECT path_id, period_index - 1 AS i, CASE path_id WHEN 0 THEN na ELSE nb END AS n, least(256, na, nb) AS size, " + ", ".join(f"({r} - m_{r}) / s_{r} AS {r}" for r in ROLES) + " FROM ret_path, st, n WHERE path_id < 2), js AS (SELECT z.* FROM z JOIN range(0, 256) t(k) ON k < size AND i = CASE WHEN k = size - 1 THEN n - 1 ELSE CAST(floor(k * ((n - 1) / (size - 1))) AS BIGINT) END)"
+_proj = " UNION ALL ".join(f"SELECT path_id, {i} AS direction, {d[0]} * equity + {d[1]} * muni_bond + {d[2]} * taxable_bond AS x FROM js" for i, d in enumerate(DIRECTIONS))
 
 
-@q("d5_sliced_wasserstein", WIDE + f", p AS ({_proj}), k AS (SELECT *, row_number() OVER (PARTITION BY path_id, direction ORDER BY x) AS k FROM p), g AS (SELECT a.direction, avg(abs(a.x - b.x)) AS g FROM k a JOIN k b ON a.path_id = 0 AND b.path_id = 1 AND a.direction = b.direction AND a.k = b.k GROUP BY 1) SELECT round(avg(g), 6) AS distance FROM g")
+@q("d5_sliced_wasserstein", JOINT + f", p AS ({_proj}), k AS (SELECT *, row_number() OVER (PARTITION BY path_id, direction ORDER BY x) AS k FROM p), g AS (SELECT a.direction, avg(abs(a.x - b.x)) AS g FROM k a JOIN k b ON a.path_id = 0 AND b.path_id = 1 AND a.direction = b.direction AND a.k = b.k GROUP BY 1) SELECT round(avg(g), 6) AS distance FROM g")
 def _(s, d):
     w = st.ret_path(s, d)
     return rounded(di.sliced_wasserstein(w.where("path_id = 0"), w.where("path_id = 1"), ROLES, DIRECTIONS))
 
 
-@q("d5_energy_distance", WIDE + """, a AS (SELECT * FROM ret_path WHERE path_id = 0), b AS (SELECT * FROM ret_path WHERE path_id = 1),
+@q("d5_energy_distance", JOINT + """, a AS (SELECT * FROM js WHERE path_id = 0), b AS (SELECT * FROM js WHERE path_id = 1),
 m AS (SELECT (SELECT avg(sqrt((a.equity - b.equity) ** 2 + (a.muni_bond - b.muni_bond) ** 2 + (a.taxable_bond - b.taxable_bond) ** 2)) FROM a, b) AS xy,
 (SELECT avg(sqrt((x.equity - y.equity) ** 2 + (x.muni_bond - y.muni_bond) ** 2 + (x.taxable_bond - y.taxable_bond) ** 2)) FROM a x, a y) AS xx,
 (SELECT avg(sqrt((x.equity - y.equity) ** 2 + (x.muni_bond - y.muni_bond) ** 2 + (x.taxable_bond - y.taxable_bond) ** 2)) FROM b x, b y) AS yy)

@@ -199,7 +199,7 @@ def _(s, d):
     return sp.canonical_labels(st.state_path(s, d), ["muni_bond", "equity"])
 
 
-@q("w24_state_support", EPI + "SELECT state, count(*) AS episodes, CAST(sum(greatest(length - 1, 0)) AS BIGINT) AS eligible_starts FROM epi GROUP BY 1")
+@q("w24_state_support", EPI + "SELECT state, count(*) FILTER (first > lo AND last < hi) AS episodes, CAST(sum(greatest(length - 1, 0)) AS BIGINT) AS eligible_starts FROM (SELECT *, min(first) OVER p AS lo, max(last) OVER p AS hi FROM epi WINDOW p AS (PARTITION BY path_id)) GROUP BY 1")
 def _(s, d):
     return sp.support(st.state_path(s, d), 2)
 
