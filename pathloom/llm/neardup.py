@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm import bitmap
 from pathloom.llm import textkit as tk
 from pathloom.llm.components import components
 from pathloom.session import cut, drop_cut
@@ -135,7 +136,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     shared = values.join(often.select("v"), "v").groupBy("node", "n").agg(F.count("*").alias("s"))
     near = cut(shared.where(F.col("s") >= need).select("node"))
     sketch_of = nodes.join(near, "node", "left_semi")
-    sets = cut(docs.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(set_rows, shingle=shingle), "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+    sets = cut(bitmap.possible(docs, "doc_id", near, "node").join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(set_rows, shingle=shingle), "node long, hashes binary").dropDuplicates(["node", "hashes"]))
     # the same filter once more on the whole sets of those that passed, where it is exact and far sharper
     full = sets.mapInArrow(value_rows, "node long, n long, v long")
     often = full.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -219,4 +220,6 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 def drop_near_copies(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns kept."""
     out = near_components(documents, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
+    out = cut(out)
+    some, none = bitmap.split(documents, "doc_id", out, "__gone")
+    return some.join(out, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").unionByName(none)
