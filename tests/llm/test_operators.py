@@ -168,6 +168,23 @@ def test_passages_whose_leaders_hold_too_little(spark):
     assert got == {10 * i + 4: 60 for i in range(40)}
 
 
+def test_passages_beside_a_common_one_that_is_too_short(spark):
+    from pathloom.llm.substring_dedup import repeated_spans
+
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, rows, want = own(47), [], {}
+    for i in range(150):  # 47 words that all share, and in every third document and the next one 12 words more
+        more = own(12) if i % 3 < 2 else own(12)
+        if i % 3 == 1:
+            more = last
+            want[i] = 59
+        last = more
+        rows.append((i, " ".join(own(rng.randint(30, 90)) + common + more + own(rng.randint(30, 90)))))
+    got = {r.doc: sum(s.end - s.start for s in r.spans) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
