@@ -126,6 +126,20 @@ def test_similar_spans_bridge_small_edits():
     assert similar_spans(a, np.arange(7000, 7200, dtype=np.uint32)) == []
 
 
+def test_dense_places_are_those_of_dense_intervals():
+    from pathloom.llm.substring_dedup import _dense
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        known, least = rng.random(int(rng.integers(0, 40))) < rng.random(), int(rng.integers(1, 12))
+        plain = np.zeros(len(known), bool)
+        for s in range(len(known)):
+            for e in range(s + least, len(known) + 1):
+                if 100 * known[s:e].sum() >= 80 * (e - s):
+                    plain[s:e] = True
+        assert (_dense(known, least, 80) == plain).all()
+
+
 def test_similar_spans_find_passages_whose_parts_stand_earlier(monkeypatch):
     from pathloom.llm import substring_dedup as sd
 
