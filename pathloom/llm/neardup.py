@@ -126,16 +126,19 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(docs.mapInArrow(partial(sketch_rows, shingle=shingle), "doc_id long, n long, s1 long, s2 long, sketch array<bigint>"))
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = cut(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
-    nodes = members.where("sketch IS NOT NULL").select(F.col("rep").alias("node"), "n", "sketch").distinct()
-    nodes = cut(nodes)
+    # the sketches of a class are equal: any of them stands for it
+    classes = cut(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    members = cut(named.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep"))
+    row_sizes = cut(sketches.select("doc_id", F.col("n").alias("n_shingles")))
+    drop_cut(sketches)
+    nodes = classes.select(F.col("rep").alias("node"), "n", "sketch")
     values = nodes.select("node", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(shared_least(percent)), F.ceil(F.col("n") * percent / 100).cast("int"))
     shared = values.join(often.select("v"), "v").groupBy("node", "n").agg(F.count("*").alias("s"))
     near = cut(shared.where(F.col("s") >= need).select("node"))
-    sketch_of = nodes.join(near, "node", "left_semi")
+    sketch_of = cut(nodes.join(near, "node", "left_semi").select("node", "sketch"))
+    drop_cut(classes)
     sets = cut(bitmap.possible(docs, "doc_id", near, "node").join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(set_rows, shingle=shingle), "node long, hashes binary").dropDuplicates(["node", "hashes"]))
     # the same filter once more on the whole sets of those that passed, where it is exact and far sharper
     full = sets.mapInArrow(value_rows, "node long, n long, v long")
@@ -149,6 +152,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     )
     index = ranked.where((F.col("s") >= need) & (F.col("i") <= F.col("s") - need + 1)).select("key", "node", "n", "s", "i", F.round(F.col("mid") / F.col("n"), 6).alias("mid"))
     index = cut(index)
+    made = [near, sketch_of, sets, index]
 
     def linked(pairs: DataFrame) -> DataFrame:
         x = pairs.distinct().join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -163,6 +167,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         return (F.least(*s) >= least) & (i[0] <= s[0] - least + 1) & (i[1] <= s[1] - least + 1) & (100 * F.least(*n) >= percent * F.greatest(*n))
 
     comp: DataFrame | None = None
+    before: DataFrame | None = None
     own = ["key", "node", "n", "s", "i", "mid", "comp"]
     rows = index.withColumn("comp", F.col("node"))
     room = (100 + percent) * F.col("s") - percent * F.col("n")  # a member links with sets of room / percent values at most
@@ -174,10 +179,12 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         )
         alive = (percent * F.col("least_n") <= room) & (percent * F.col("n") <= F.col("most_room"))
         state = cut(rows.join(lead.where("lo < hi"), "key").where(alive).select(*own, "l"))
+        if before is not None:
+            drop_cut(before)
+        before = state
         sizes = state.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("l.comp")).alias("m")).where("m > 0")
         rest = sizes.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("size")).alias("pairs")).first()
         if not rest["m"]:
-            drop_cut(state)
             break
         others = state.where("comp <> l.comp")
         last = turn == ROUNDS or (turn > 0 and rest["pairs"] <= 4 * rest["m"] + 100_000)
@@ -210,9 +217,9 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     else:
         base = base.select("doc_id", F.col("rep").alias("c"))
     found = cut(base.groupBy("doc_id").agg(F.min("c").alias("c")))
-    sizes = sketches.select("doc_id", F.col("n").alias("n_shingles")).alias("s")
-    drop_cut(sets)
-    return sizes.join(found.alias("f"), F.col("s.doc_id") == F.col("f.doc_id"), "left").select(
+    for x in [*made, before, members]:
+        drop_cut(x)
+    return row_sizes.alias("s").join(found.alias("f"), F.col("s.doc_id") == F.col("f.doc_id"), "left").select(
         "s.doc_id", "s.n_shingles", F.coalesce("f.c", "s.doc_id").alias("component_id"), F.coalesce(F.coalesce("f.c", "s.doc_id") == F.col("s.doc_id"), F.lit(True)).alias("kept")
     )
 
