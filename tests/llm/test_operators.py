@@ -155,6 +155,24 @@ def test_similar_spans_find_passages_whose_parts_stand_earlier(monkeypatch):
         assert sd.similar_spans(x, x) == [(0, 304)]
 
 
+def test_stretches_apart_are_judged_alone():
+    """Spans of a text of several stretches are those of each stretch by itself; a text covered by whole runs needs no chain."""
+    from pathloom.llm.substring_dedup import similar_spans
+
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(1 << 20, 1 << 31, n).astype(np.uint32)
+    a = fresh(400)
+    whole, edited, short = a[20:90], a[150:260].copy(), a[300:330]
+    edited[[30, 62]] = fresh(2)
+    parts = [fresh(80), whole, fresh(80), edited, fresh(80), short, fresh(80)]
+    b, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    alone = [[(s + at[k], e + at[k]) for s, e in similar_spans(a, parts[k])] for k in (1, 3, 5)]
+    assert [len(x) for x in alone] == [1, 1, 0]
+    assert similar_spans(a, b) == alone[0] + alone[1]
+    assert similar_spans(a, np.concatenate([whole, fresh(80), a[150:260]])) == [(0, 74), (150, 264)]
+    assert similar_spans(a, a[:0]) == similar_spans(a[:0], a) == []
+
+
 def test_short_near_passages_are_met(spark):
     from pathloom.llm.substring_dedup import repeated_spans
 
