@@ -132,7 +132,8 @@ def removal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("rk"))
-    found = docs.select("rk", "text").mapInArrow(entry_rows, "rk long, g long, c long, lo int, n int")
+    # dealt by g once: windows over (g, c) that come first would deal all entries by both, and those over g again
+    found = docs.select("rk", "text").mapInArrow(entry_rows, "rk long, g long, c long, lo int, n int").repartition("g")
     gram, context = Window.partitionBy("g"), Window.partitionBy("g", "c")
     counted = found.withColumn("m", F.count("*").over(context)).withColumn("least", F.min("m").over(gram)).withColumn("all", F.count("*").over(gram))
     counted = counted.withColumn("i", F.row_number().over(context.orderBy("rk", "lo"))).where("all > 1")

@@ -72,6 +72,15 @@ def test_exact_repeats(docs, corpus):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_entries_are_dealt_once(docs, monkeypatch):
+    from pathloom.llm import suffix_dedup as sd
+
+    plans, cut = [], sd.cut
+    monkeypatch.setattr(sd, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    assert sd.remove_repeats(docs).count() == docs.count()
+    assert plans[0].count("Exchange hashpartitioning(g#") == 1
+
+
 def test_places_beyond_24_bits():
     from pathloom.llm import substring_dedup, suffix_dedup
 
