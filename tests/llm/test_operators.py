@@ -226,6 +226,21 @@ def test_passages_beside_a_common_one_that_is_too_short(spark):
     assert got == want
 
 
+def test_passages_that_overlap_one_cut_already(spark, monkeypatch):
+    from pathloom.llm.substring_dedup import repeated_spans
+
+    rng = random.Random(10)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):  # 60 words of document 1 and 60 of document 2, of which 40 are the same
+        x, p, y = own(20), own(40), own(20)
+        rows += [(10 * i + k, " ".join(own(rng.randint(20, 90)) + w + own(rng.randint(20, 90)))) for k, w in enumerate((x + p, p + y, x + p + y), 1)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(documents), "first", None)  # the way is the same at any size: none is asked for
+    got = {r.doc: [s.end - s.start for s in r.spans] for r in repeated_spans(documents).collect()}
+    assert got == {10 * i + 3: [80] for i in range(40)}
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
