@@ -241,6 +241,56 @@ def test_passages_that_overlap_one_cut_already(spark, monkeypatch):
     assert got == {10 * i + 3: [80] for i in range(40)}
 
 
+def test_open_windows_travel_once_and_meet_as_compared_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    from pathloom.llm import substring_dedup as sd
+
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    box = [(60 << 16) | 60, (20 << 16) | 30]
+    x = [[{"v": 5, "at": 100, "box": box[0], "part": 0, "parts": 1}, {"v": 6, "at": 100, "box": box[1], "part": 0, "parts": 1}]]
+    kind = pa.list_(pa.struct([("v", pa.int64()), ("at", pa.int32()), ("box", pa.int32()), ("part", pa.int32()), ("parts", pa.int32())]))
+    spans = pa.array([[{"start": 90, "end": 100}]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    got = pa.Table.from_batches(sd.near_rows(iter([pa.record_batch([pa.array([1]), pa.array([text]), pa.array(x, kind), spans], ["doc_id", "text", "x", "own"])])))
+    assert [len(b) // 4 for b in got.column("near").to_pylist()] == [91, 51]  # a row a window, whatever its tokens
+    assert [int((np.frombuffer(b, np.uint32) & 1).sum()) for b in got.column("near").to_pylist()] == [85, 45]
+
+    met = 0
+    for _ in range(60):
+        common = [rng.randrange(4096) for _ in range(60)]
+        rows = []
+        for _ in range(30):  # near-copies of one sequence that are open in parts
+            b = rng.randrange(20, 50), rng.randrange(20, 50)
+            odd, news = rng.choice([0.0, 0.2, 0.5]), rng.choice([0, 0.1, 1])
+            tokens = [rng.randrange(4096) if rng.random() < odd else common[k % 60] for k in range(min(b[0], 45) + min(b[1], 45) + 1)]
+            rows.append((rng.randrange(3), rng.randrange(15), b[0] << 16 | b[1], [k << 1 | (rng.random() < news) for k in tokens]))
+        rows.sort(key=lambda r: r[0])
+        want = set()
+        for v, a, e, p in rows:
+            for w, b, f, q in rows:
+                beside = min(e >> 16, f >> 16) + min(e & 0xFFFF, f & 0xFFFF) + 1 >= sd.LEAST
+                both = {k >> 1 for k in p} & {k >> 1 for k in q}
+                need = max(max(sd.LEAST - len(t) + len({k >> 1 for k in t}), 1) for t in (p, q))
+                if v == w and a < b and beside and len(both) >= need and both & {k >> 1 for k in q if k & 1}:
+                    want.add((a, b))
+        met += len(want)
+        v, doc, boxes = (np.array([r[k] for r in rows]) for k in range(3))
+        at = np.cumsum([0, *(len(r[3]) for r in rows)])
+        pairs = sd._meet(v, np.full(30, -1), doc, boxes, np.array([k for r in rows for k in r[3]], np.uint32), at)
+        assert set(map(tuple, pairs.T.tolist())) == want
+        # dealt in parts, a batch of seven rows at a time
+        part, blobs, dealt = [rng.randrange(3) for _ in rows], [np.array(r[3], np.uint32).tobytes() for r in rows], []
+        for r, k, blob in zip(rows, part, blobs, strict=True):
+            dealt += [(r[0], min(k, o), max(k, o), -1 if k == o else int(k > o), r[1], r[2], blob) for o in range(3)]
+        dealt.sort(key=lambda r: r[:3])
+        schema = pa.schema([("v", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("doc", pa.int64()), ("box", pa.int32()), ("near", pa.binary())])
+        batches = [pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*dealt[k : k + 7], strict=True), schema, strict=True)], schema=schema) for k in range(0, len(dealt), 7)]
+        assert {(r["a"], r["b"]) for out in sd.meet_rows(iter(batches)) for r in out.to_pylist()} == want
+    assert met > 500
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
