@@ -291,6 +291,14 @@ def test_open_windows_travel_once_and_meet_as_compared_one_by_one():
     assert met > 500
 
 
+def test_verification_gives_memory_back(monkeypatch):
+    from pathloom.llm import substring_dedup as sd
+
+    given = []
+    monkeypatch.setattr(sd.tk, "give_back", lambda: given.append(1))
+    assert list(sd.verify_rows(iter([]))) == [] and given
+
+
 def test_language_model(docs, corpus):
     from pathloom.llm.lm_scoring import language_model_scores
 
