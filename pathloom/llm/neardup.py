@@ -155,10 +155,15 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     made = [near, sketch_of, sets, index]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        x = pairs.distinct().join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        x = x.withColumn("__size", F.least(F.size(F.array_union("sa", "sb")), F.lit(K))).where(_likely("sa", "sb", percent)).select("a", "b")
-        x = x.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return x.select("a", "b", "x", "y").mapInArrow(verify_rows(percent), "a long, b long")
+        x = cut(pairs.distinct())
+        x_sketches, y_sketches = (bitmap.possible(sketch_of, "node", x, side).select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")) for side in "ab")
+        likely = x.join(x_sketches, "a").join(y_sketches, "b")
+        likely = cut(likely.withColumn("__size", F.least(F.size(F.array_union("sa", "sb")), F.lit(K))).where(_likely("sa", "sb", percent)).select("a", "b"))
+        # whole sets travel only where a pair needs them
+        x_sets, y_sets = (bitmap.possible(sets, "node", likely, side).select(F.col("node").alias(side), F.col("hashes").alias(to)) for side, to in ("ax", "by"))
+        links = cut(likely.join(x_sets, "a").join(y_sets, "b").select("a", "b", "x", "y").mapInArrow(verify_rows(percent), "a long, b long"))
+        drop_cut(x), drop_cut(likely)
+        return links
 
     def may_link(x: str, y: str) -> F.Column:
         """Two members of a list can be linked at all: by their shared values, and by the place of this key among them."""
@@ -198,7 +203,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
             met = o.join(s, (F.col("o.key") == F.col("s.key")) & apart & may_link("o", "s") & once).select(F.least("o.node", "s.node").alias("a"), F.greatest("o.node", "s.node").alias("b"))
         else:
             met = others.alias("o").where(may_link("o", "o.l")).select(F.least("o.node", "o.l.node").alias("a"), F.greatest("o.node", "o.l.node").alias("b"))
-        links = cut(linked(met))
+        links = linked(met)
         here = state
         if links.limit(1).count():
             at = comp if comp is not None else index.select("node", F.col("node").alias("label")).distinct()

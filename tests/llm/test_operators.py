@@ -55,6 +55,18 @@ def test_near_components(spark, corpus, docs):
     assert near_components(docs.limit(0)).count() == 0
 
 
+def test_sets_travel_only_where_a_pair_needs_them(spark, monkeypatch):
+    from pathloom.llm import neardup
+
+    rng, limited, possible = random.Random(12), set(), neardup.bitmap.possible
+    text = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(0, " ".join(text)), (1, " ".join(text[:-1])), (2, " ".join(reversed(text)))]
+    monkeypatch.setattr(neardup.bitmap, "possible", lambda x, key, ids, own: limited.add((x.columns[-1], own)) or possible(x, key, ids, own))
+    got = {r.doc_id: r.component_id for r in neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert limited >= {("sketch", "a"), ("sketch", "b"), ("hashes", "a"), ("hashes", "b")}
+
+
 def test_exact_repeats(docs, corpus):
     from pathloom.llm.suffix_dedup import remove_repeats
 
