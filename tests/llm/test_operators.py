@@ -303,6 +303,52 @@ def test_open_windows_travel_once_and_meet_as_compared_one_by_one():
     assert met > 500
 
 
+def test_open_windows_are_looked_up_and_found_pairs_are_not_compared_again(monkeypatch):
+    """A common stretch that is cut makes no window of a group be compared with all others; a pair of documents is found once."""
+    from pathloom.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(12)
+    n, compared = 600, []
+    tokens = [np.concatenate([rng.integers(1000, 1 << 30, 25) << 1 | 1, np.arange(41) << 1, rng.integers(1000, 1 << 30, 25) << 1 | 1]) for _ in range(n)]
+    for k in range(1, n, 2):  # each second one has some of the fresh tokens of the one before
+        tokens[k][:25] = tokens[k - 1][:25]
+    union = np.union1d
+    monkeypatch.setattr(sd.np, "union1d", lambda x, y: compared.append(len(y)) or union(x, y))
+    looked, isin = [], np.isin
+    monkeypatch.setattr(sd.np, "isin", lambda x, y: looked.append(len(x)) or isin(x, y))
+    doc, at = np.repeat(np.arange(n // 2), 2) * 2 + np.tile([0, 1], n // 2), np.arange(n + 1) * 91
+    pairs = sd._meet(np.zeros(n, int), np.full(n, -1), doc, np.full(n, 45 << 16 | 45), np.concatenate(tokens).astype(np.uint32), at)
+    assert pairs.T.tolist() == [[k, k + 1] for k in range(0, n, 2)]
+    assert sum(compared) == n // 2 and 0 < sum(looked) < 10 * n  # of 179,700 pairs
+
+
+def test_verification_passes_over_pairs_that_add_nothing(monkeypatch):
+    import pyarrow as pa
+
+    from pathloom.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(3)
+    fresh = lambda k: rng.integers(0, 2**32, k, dtype=np.uint32)
+    rows, want = [], set()
+    for i in range(120):
+        a = fresh(300)
+        b = np.concatenate([fresh(60), a[50:130], fresh(60), a[200 : 200 + i % 60], fresh(30)])
+        own = [{"start": 60, "end": [100, 144, 144][i % 3]}] if i % 4 else None
+        known = set(range(60, own[0]["end"])) if own else set()
+        found = {k for s, e in sd.similar_spans(a, b) for k in range(s, e)}
+        want |= {(i, k) for k in found - known}
+        rows.append((i, a.tobytes(), b.tobytes(), own))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), kind), strict=True)], ["doc", "x", "y", "spans"])
+    done, plain = [], sd.similar_spans
+    monkeypatch.setattr(sd, "similar_spans", lambda x, y: done.append(1) or plain(x, y))
+    got = set()
+    for out in sd.verify_rows(iter([batch])):
+        got |= {(r["doc"], k) for r in out.to_pylist() for k in range(r["start"], r["end"])}
+    cut_before = {(i, k) for i, _, _, own in rows for s in own or () for k in range(s["start"], s["end"])}
+    assert got - cut_before == want and len(done) < 100
+
+
 def test_verification_gives_memory_back(monkeypatch):
     from pathloom.llm import substring_dedup as sd
 
